@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import best_fit, sum_squares
+from . import best_fit, sum_squares, wu_manber
 
 
 def queries() -> dict:
     return {
+        "op3_wu_manber": wu_manber.query,
         "op5_best_fit_matrices": best_fit.query,
         "op10_sum_of_squares": sum_squares.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_wu_manber": wu_manber.SQL}
