@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import best_fit, sum_squares, wu_manber
+from . import best_fit, sum_squares, trigram_index, wu_manber
 
 
 def queries() -> dict:
     return {
+        "op2_trigram_index": trigram_index.query,
         "op3_wu_manber": wu_manber.query,
         "op5_best_fit_matrices": best_fit.query,
         "op10_sum_of_squares": sum_squares.query,
