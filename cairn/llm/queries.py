@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit, sum_squares, trigram_index, wu_manber
+from . import best_fit, skip_chain, sum_squares, trigram_index, wu_manber
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_trigram_index": trigram_index.query,
         "op3_wu_manber": wu_manber.query,
         "op5_best_fit_matrices": best_fit.query,
+        "op7_skip_chain": skip_chain.query,
         "op10_sum_of_squares": sum_squares.query,
     }
 
