@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit, skip_chain, sum_squares, trigram_index, wu_manber
+from . import best_fit, cross_parse, skip_chain, sum_squares, trigram_index, wu_manber
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_wu_manber": wu_manber.query,
         "op5_best_fit_matrices": best_fit.query,
         "op7_skip_chain": skip_chain.query,
+        "op9_cross_parse": cross_parse.query,
         "op10_sum_of_squares": sum_squares.query,
     }
 
