@@ -16,7 +16,9 @@ import regex
 from . import hashing
 
 #: Words that a worker remembers before it starts afresh; a bound on memory only, never on results.
-CACHE_WORDS = 3_000_000
+CACHE_WORDS = 1_000_000
+#: Pieces of words that a worker remembers as Python objects; likewise only a bound on memory.
+CACHE_PIECES = 100_000
 #: Words that are only these characters need no normalizer: it would only lower their case.
 _SAFE = re.compile("[!-~¡-ÿ]+")
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -67,6 +69,8 @@ class WordIds:
         if ids is None:
             shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
             ids = [t.id for t in self.model.tokenize(shown)]
+            if len(self.pieces) >= CACHE_PIECES:
+                self.pieces.clear()
             if len(piece) < 24:
                 self.pieces[piece] = ids
         return ids
