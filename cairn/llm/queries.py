@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import best_fit, cross_parse, skip_chain, sum_squares, trigram_index, wu_manber
+from . import best_fit, block_rules, cross_parse, host_rules, skip_chain, sum_squares, trigram_index, wu_manber
 
 
 def queries() -> dict:
     return {
         "op2_trigram_index": trigram_index.query,
         "op3_wu_manber": wu_manber.query,
+        "op4_host_rules": host_rules.query,
         "op5_best_fit_matrices": best_fit.query,
+        "op6_block_rules": block_rules.query,
         "op7_skip_chain": skip_chain.query,
         "op9_cross_parse": cross_parse.query,
         "op10_sum_of_squares": sum_squares.query,
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_wu_manber": wu_manber.SQL}
+    return {"op4_host_rules": host_rules.SQL, "op3_wu_manber": wu_manber.SQL}
