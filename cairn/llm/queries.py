@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import best_fit, block_rules, cross_parse, host_rules, skip_chain, sum_squares, trigram_index, wu_manber
+from . import best_fit, block_rules, cross_parse, host_rules, skip_chain, sum_squares, tool_links, trigram_index, wu_manber
 
 
 def queries() -> dict:
     return {
+        "op1_tool_links": tool_links.query,
         "op2_trigram_index": trigram_index.query,
         "op3_wu_manber": wu_manber.query,
         "op4_host_rules": host_rules.query,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_host_rules": host_rules.SQL, "op3_wu_manber": wu_manber.SQL}
+    return {"op1_tool_links": tool_links.SQL, "op4_host_rules": host_rules.SQL, "op3_wu_manber": wu_manber.SQL}
