@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit, block_rules, cross_parse, host_rules, skip_chain, sum_squares, tool_links, trigram_index, wu_manber
+from . import best_fit, block_rules, cross_parse, host_rules, hyper_minhash, skip_chain, sum_squares, tool_links, trigram_index, wu_manber
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_best_fit_matrices": best_fit.query,
         "op6_block_rules": block_rules.query,
         "op7_skip_chain": skip_chain.query,
+        "op8_hyper_minhash": hyper_minhash.query,
         "op9_cross_parse": cross_parse.query,
         "op10_sum_of_squares": sum_squares.query,
     }
