@@ -278,6 +278,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose document is kept; repeated rows become one, rows without a doc_id stay."""
+    kept = near_duplicates(docs).where("kept").select("doc_id").where("doc_id is not null").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).distinct().unionByName(docs.where("doc_id is null"))
+
+
 def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, text) of one document of each class; rows that share its doc_id but not its set are left out."""
     both = docs.join(classes.select(F.col("rep").alias("doc_id"), "node"), "doc_id").select("node", "text")

@@ -19,6 +19,7 @@ windows that several items share count for each; null doc_id is kept; other colu
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -176,6 +177,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     return out
 
 
+#: A word of a text as it stands, before its letters are folded.
+_RAW_WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def without_ranges(text: str, ranges: list[int]) -> str:
+    """A text without the words of the given [first, end) ranges and what stands between these words."""
+    spans = [m.span() for m in _RAW_WORD.finditer(text)]
+    out, at = [], 0
+    for a, b in zip(ranges[::2], ranges[1::2], strict=True):
+        out.append(text[at : spans[a][0]])
+        at = spans[b - 1][1]
+    return "".join([*out, text[at:]])
+
+
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
+    """``docs`` (doc_id, text, lang, source, n_chars) without contaminated documents; others lose the words hit."""
+    cols = ["doc_id", "text", "lang", "source", "n_chars"]
+    scored = decontaminate(docs, benchmark, cols, window, min_items).where("not contaminated")
+
+    def compute(part: pa.RecordBatch) -> list:
+        texts = [without_ranges(t, r) if r else t for t, r in zip(part.column("text").to_pylist(), part.column("hit_ranges").to_pylist(), strict=True)]
+        chars = [len(t) if r else n for t, r, n in zip(texts, part.column("hit_ranges").to_pylist(), part.column("n_chars").to_pylist(), strict=True)]
+        return [texts, chars]
+
+    return common.add_columns(scored, "text string, n_chars long", compute, ["doc_id", "lang", "source"]).select(*cols)
+
+
 def _scan(sent, carried: bool, last: bool, min_items: int):
     def compute(part: pa.RecordBatch) -> list:
         data, place = fold(common.texts_of(part))
