@@ -178,7 +178,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
 
 
 #: A word of a text as it stands, before its letters are folded.
-_RAW_WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+_RAW_WORD = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 def without_ranges(text: str, ranges: list[int]) -> str:
