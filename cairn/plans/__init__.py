@@ -1 +1 @@
-"""."""
+"""Query plans: the statement API and the catalogue of registered queries."""

@@ -1 +1 @@
-"""."""
+"""Tables: Parquet scans and the catalog."""

@@ -1 +1 @@
-"""."""
+"""Streams are outside the surveyed scope; the package holds the place for them and claims nothing."""
