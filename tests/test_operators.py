@@ -1,0 +1,102 @@
+"""Composed operators and scalar functions on small rows, with nulls, ties and empty inputs."""
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from cairn.functions import scalar
+from cairn.operators import compose
+
+
+def values(spark, sql):
+    return spark.sql(f"SELECT * FROM VALUES {sql}")
+
+
+def collect(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_distinct_on_takes_the_first_row_of_each_key(spark):
+    df = values(spark, "(1, 'b'), (1, 'a'), (NULL, 'z'), (NULL, 'y'), (2, NULL) AS v(k, x)")
+    assert collect(compose.distinct_on(df, ["k"], [F.col("x").asc_nulls_last()])) == [(1, "a"), (2, None), (None, "y")]
+
+
+def test_distinct_on_plans_a_group_limit_before_the_shuffle(spark, tiny):
+    df = compose.distinct_on(spark.read.parquet(f"{tiny}/orders.parquet"), ["o_custkey"], [F.col("o_orderkey").asc()])
+    assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_single_join_raises_on_two_partners_and_picks_with_an_order(spark):
+    left, right = values(spark, "(1), (2), (3) AS l(k)"), values(spark, "(1, 'a'), (2, 'b'), (2, 'c') AS r(k, x)")
+    with pytest.raises(PySparkException):
+        compose.single_join(left, right, ["k"]).collect()
+    assert collect(compose.single_join(left, right, ["k"], [F.col("x").desc()])) == [(1, "a"), (2, "c"), (3, None)]
+    assert collect(compose.single_join(left, right.where("x <> 'c'"), ["k"])) == [(1, "a"), (2, "b"), (3, None)]
+
+
+@pytest.mark.parametrize(
+    "right,expected",
+    [
+        ("(1), (4) AS r(r)", [(1, True), (2, False), (None, None)]),
+        ("(1), (NULL) AS r(r)", [(1, True), (2, None), (None, None)]),
+        ("(1) AS r(r) WHERE r > 5", [(1, False), (2, False), (None, False)]),
+    ],
+)
+def test_mark_join_is_null_aware(spark, right, expected):
+    left = values(spark, "(1), (2), (NULL) AS l(k)")
+    assert collect(compose.mark_join(left, values(spark, right), "k", "r")) == sorted(expected, key=repr)
+
+
+def test_updated_and_remaining_treat_null_as_false(spark):
+    df = values(spark, "(1, 'a'), (NULL, 'b'), (3, 'c') AS v(k, x)")
+    assert collect(compose.updated(df, {"x": F.lit("hit")}, F.col("k") > 2)) == [(1, "a"), (3, "hit"), (None, "b")]
+    assert collect(compose.remaining(df, F.col("k") > 2)) == [(1, "a"), (None, "b")]
+    assert collect(compose.remaining(df)) == []
+    with pytest.raises(ValueError, match="no such column"):
+        compose.updated(df, {"nope": F.lit(1)})
+
+
+def test_first_by_does_not_depend_on_row_order(spark):
+    df = values(spark, "(2, 'late'), (1, 'early') AS v(k, x)")
+    for d in (df, df.orderBy(F.col("k").desc())):
+        assert d.agg(compose.first_by("x", "k").alias("f")).first().f == "early"
+
+
+def test_divide_by_zero_is_null(spark):
+    assert values(spark, "(4, 2), (1, 0), (NULL, 3) AS v(a, b)").select(scalar.divide(F.col("a"), F.col("b"))).collect() == [(2.0,), (None,), (None,)]
+
+
+def test_integer_overflow_raises(spark):
+    with pytest.raises(PySparkException):
+        spark.sql("SELECT a + 1 FROM VALUES (2147483647) AS v(a)").collect()
+
+
+@given(st.sampled_from(sorted(scalar.NEGATED)))
+def test_negation_and_mirror_are_involutions(op):
+    assert scalar.NEGATED[scalar.NEGATED[op]] == op
+    assert scalar.FLIPPED[scalar.FLIPPED[op]] == op
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.sampled_from(sorted(scalar.NEGATED)), st.none() | st.integers(-3, 3), st.none() | st.integers(-3, 3))
+def test_comparison_identities(spark, op, a, b):
+    df = spark.range(1).select(F.lit(a).cast("int").alias("a"), F.lit(b).cast("int").alias("b"))
+    x, y = F.col("a"), F.col("b")
+    plain, negated, flipped = df.select(scalar.compare(op, x, y), ~scalar.compare(scalar.NEGATED[op], x, y), scalar.compare(scalar.FLIPPED[op], y, x)).first()
+    assert plain == negated == flipped
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.none() | st.integers(-3, 3), st.integers(-3, 3), st.integers(-3, 3))
+def test_rewrites_agree(spark, x, a, b):
+    df = spark.range(1).select(F.lit(x).cast("int").alias("x"))
+    c = F.col("x")
+    row = df.select(c.between(a, b), (c >= a) & (c <= b), scalar.nullif(c, F.lit(a)), F.nullif(c, F.lit(a)), ~c.isin(a, b), (c != a) & (c != b)).first()
+    assert row[0] == row[1] and row[2] == row[3] and row[4] == row[5]
+
+
+def test_unknown_operator():
+    with pytest.raises(ValueError, match="unknown operator"):
+        scalar.compare("<~>", 1, 2)
