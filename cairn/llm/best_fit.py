@@ -63,16 +63,19 @@ class CapacityTree:
     def least(self, c: int) -> int:
         """The smallest residual of an open bin that is at least c, or -1."""
         total, node = self.total, c + self.size
-        if not total[node]:
-            while node & (node - 1) and (node & 1 or not total[node + 1]):
-                node >>= 1
-            if not node & (node - 1):
-                return -1
-            node += 1
-            while node < self.size:
-                node *= 2
-                if not total[node]:
-                    node += 1
+        if total[node]:
+            return c
+        while node > 1:
+            if not node & 1 and total[node + 1]:
+                node += 1
+                break
+            node >>= 1
+        else:
+            return -1
+        while node < self.size:
+            node *= 2
+            if not total[node]:
+                node += 1
         return node - self.size
 
 
