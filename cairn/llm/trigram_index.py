@@ -116,6 +116,9 @@ def _parts(tree, most: int):
                 yield own | {""}, True
             elif own is not None and low == high and len(own) ** low <= most:
                 yield from [(own, True)] * low
+            elif own is not None and low and len(own) ** min(low, 3) <= most:
+                yield from [(own, True)] * min(low, 3)
+                yield None, True
             else:
                 yield None, query if low else True
         elif op not in (C.ASSERT, C.ASSERT_NOT, C.AT):
