@@ -1,0 +1,79 @@
+import json
+
+from cairn.llm import queries, tool_links
+
+from ..conftest import oracle_rows, rows_of
+
+SCHEMA = "conv_id long, turn long, role string, text string, status string, record int"
+
+
+def call(id, name="f", args=None, **more):
+    return "<tool_call>" + json.dumps({"id": id, "name": name, "arguments": args if args is not None else {}} | more) + "</tool_call>"
+
+
+def answer(id, content):
+    return "<tool_response>" + json.dumps({"id": id, "content": content}) + "</tool_response>"
+
+
+def formatted(table, rows, schemas=None):
+    out = tool_links.format_chats(table([(*r, "x", 1) for r in rows], SCHEMA), schemas).collect()
+    return {(r.conv_id, r.call_id or f"m{r.call_turn}"): r for r in out}
+
+
+def test_query_matches_oracle(spark, tiny, duck):
+    name = "op1_tool_links"
+    assert rows_of(queries.queries()[name](spark, tiny)) == oracle_rows(duck, queries.oracle_sql()[name])
+
+
+def test_exchanges_link_by_identifier(table):
+    got = formatted(table, [(1, 0, "system", "be brief"), (1, 1, "user", 'say "é"\n'), (1, 2, "assistant", "é"), (1, 3, "user", None), (2, 5, "assistant", "late"), (None, 1, "user", "x"), (3, None, "user", "x"), (4, 0, None, "who")])
+    assert {k: r.status for k, r in got.items()} == {(1, "m0"): "message", (1, "1"): "linked", (1, "3"): "unanswered", (2, "4"): "orphan", (4, "m0"): "message"}
+    assert got[1, "1"].record == '{"arguments":{"role":"user","text":"say \\"é\\"\\n","turn":1},"call_id":"1","conv_id":1,"name":"reply","result":"é","result_turn":2,"turn":1}'
+    assert got[1, "1"].args_valid and got[1, "3"].args_valid and not got[2, "4"].args_valid
+    assert json.loads(got[1, "3"].record)["arguments"]["text"] == ""
+
+
+def test_repeated_rows_count_once_and_ties_take_the_first(table):
+    got = formatted(table, [(1, 0, "user", "b"), (1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "z"), (1, 1, "assistant", "y"), (1, 1, "assistant", "y")])
+    r = got[1, "0"]
+    assert len(got) == 1 and r.n_results == 2 and json.loads(r.record)["result"] == "y" and json.loads(r.record)["arguments"]["text"] == "a"
+
+
+def test_blocks_are_validated_and_serialised_canonically(table, spark):
+    schemas = spark.sql("SELECT * FROM VALUES ('f', 'n', 'integer', true), ('f', 'x', 'number', false), ('f', 'o', 'object', false) AS s(tool, arg, type, required)")
+    rows = [
+        (1, 0, "assistant", call("ok", args={"x": 1, "n": 2, "o": {"b": [1, "é"], "a": None}}) + call("missing", args={"x": 1.5}) + call("type", args={"n": "2"}) + call("extra", args={"n": 1, "y": 1}) + call("tool", "g", {"n": 1})),
+        (1, 1, "tool", answer("ok", {"b": 1, "a": 2}) + answer("stray", 1)),
+        (1, 2, "assistant", "<tool_call>{broken</tool_call>"),
+    ]
+    got = formatted(table, rows, schemas)
+    assert {k[1]: r.args_valid for k, r in got.items() if r.name == "f"} == {"ok": True, "missing": False, "type": False, "extra": False}
+    assert not got[1, "tool"].args_valid and got[1, "stray"].status == "orphan"
+    assert '"arguments":{"n":2,"o":{"a":null,"b":[1,"é"]},"x":1}' in got[1, "ok"].record and '"result":{"a":2,"b":1}' in got[1, "ok"].record
+    broken = [r for (_, i), r in got.items() if i.startswith("?")]
+    assert len(broken) == 1 and broken[0].name is None and not broken[0].args_valid
+    assert all(json.loads(r.record) for r in got.values())
+
+
+def test_topological_order_and_cycles(table):
+    rows = [
+        (1, 9, "tool_user", call("a") + call("self", depends_on=["self"])),
+        (1, 2, "tool_user", call("b", depends_on=["a", "unknown"]) + call("c", depends_on=["b", "a"])),
+        (1, 3, "tool_user", call("d", depends_on=["e"]) + call("e", depends_on=["d"]) + call("f", depends_on=["d"]) + call("g")),
+    ]
+    got = formatted(table, rows)
+    keys = {i: (r.order_turn, r.order_level, r.call_turn, i) for (_, i), r in got.items() if r.status != "message" and r.order_turn is not None}
+    assert set(keys) == {"a", "b", "c", "g"}
+    assert sorted(keys, key=keys.get) == ["g", "a", "b", "c"]
+
+
+def test_empty_table_and_long_text(table):
+    assert formatted(table, []) == {}
+    long = "word " * 200_000
+    got = formatted(table, [(1, 0, "user", long), (1, 1, "assistant", "")])
+    assert json.loads(got[1, "0"].record)["arguments"]["text"] == long
+
+
+def test_no_python_in_the_plan(spark, tiny):
+    text = queries.queries()["op1_tool_links"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in text for x in ("Python", "Pandas", "InArrow", "ExistingRDD"))
