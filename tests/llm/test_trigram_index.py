@@ -41,7 +41,7 @@ def test_queries_are_derived_and_necessary():
 
 
 def test_extra_kinds_add_spans_and_clean_prose_has_none(docs):
-    rows = [(1, "key AIza" + "a" * 35 + " and -----BEGIN RSA PRIVATE KEY-----"), (2, "The token of the secret garden was a password to nothing."), (3, None), (4, ""), (None, "token=abcdef"), (1, "token = abcdef"), (1, "token = abcdef")]
+    rows = [(1, "key AIza" + "Z" * 35 + " and -----BEGIN RSA PRIVATE KEY-----"), (2, "The token of the secret garden was a password to nothing."), (3, None), (4, ""), (None, "token=abcdef"), (1, "token = abcdef"), (1, "token = abcdef")]
     got = by_id(ti.find_secrets(docs(rows)))
     assert len(got) == 7
     spans = {(r.doc_id, r.spans) for r in got}
