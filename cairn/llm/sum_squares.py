@@ -27,6 +27,8 @@ from .tokens import word_ids
 SEQUENCE = 4096
 END_ID = 1
 SHARD_ROWS = 50_000
+#: Share of a shard's sequences, the emptiest, that are packed a second time.
+AGAIN = 0.2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -63,6 +65,27 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
+def pack_shard(lengths: np.ndarray, capacity: int, again: float = AGAIN) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each item: placed in order, then the items of the emptiest bins once more, longest first.
+
+    Both passes follow the sum-of-squares rule; the second one counts only if it saves bins.
+    """
+    bins, offsets = pack_lengths(lengths, capacity)
+    if not len(bins):
+        return bins, offsets
+    made = int(bins.max()) + 1
+    filled = np.bincount(bins, lengths, made)
+    weak = np.argsort(filled, kind="stable")[: max(1, int(made * again))]
+    is_weak = np.zeros(made, bool)
+    is_weak[weak] = True
+    items = np.flatnonzero(is_weak[bins])
+    items = items[np.argsort(-lengths[items], kind="stable")]
+    new_bins, new_offsets = pack_lengths(lengths[items], capacity)
+    if new_bins.max() + 1 < len(weak):
+        bins[items], offsets[items] = np.sort(weak)[new_bins], new_offsets
+    return bins, offsets
+
+
 def pieces(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None, shards: int = 1) -> DataFrame:
     """One row per piece of each document with the crc32 of its ids, and the shard it is dealt to."""
 
@@ -96,7 +119,7 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None
     def run(key: tuple, t: pa.Table) -> pa.Table:
         # the order of rows after a shuffle may differ between attempts; packing must not
         t = t.sort_by([(c, "ascending") for c in ("ids_crc32", "doc_id", "piece")])
-        bins, offsets = pack_lengths(t.column("length").to_numpy(), sequence)
+        bins, offsets = pack_shard(t.column("length").to_numpy(), sequence)
         cols = [t.column(n) for n in schema.names[:5]]
         return pa.Table.from_arrays([*cols, pa.array(bins + (key[0].as_py() << 40)), pa.array(offsets)], schema=schema)
 

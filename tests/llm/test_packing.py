@@ -64,6 +64,21 @@ def test_sum_of_squares_follows_its_rule(lengths):
     assert chosen == want and (bins.max() + 1 if lengths else 0) == count
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=60))
+def test_second_pass_keeps_every_item_and_saves_bins(lengths):
+    sizes = np.array(lengths, np.int64)
+    bins, offsets = sum_squares.pack_shard(sizes, 12)
+    before = sum_squares.pack_lengths(sizes, 12)[0]
+    assert len(set(bins.tolist())) <= len(set(before.tolist()))
+    for b in set(bins.tolist()):
+        end = 0
+        for k in sorted(np.flatnonzero(bins == b), key=lambda k: offsets[k]):
+            assert offsets[k] == end
+            end += lengths[k]
+        assert end <= 12
+
+
 def check_pieces(rows, texts, words, sequence):
     """Every document's ids come back whole from its pieces, and sequences are full without gaps or overlap."""
     ids = {d: direct(words, t or "") + [1] for d, t in texts}
