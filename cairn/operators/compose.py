@@ -43,14 +43,14 @@ def mark_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     """``left`` with a boolean: does its key have a partner in ``right``, by the rules of SQL's IN.
 
     No partner is null rather than false where the left key is null (and ``right`` has rows) or where
-    ``right`` holds a null. The right side is reduced to distinct keys and two facts about it (one row).
+    ``right`` holds a null. The right side is reduced to distinct keys and two facts about it (a scalar subquery).
     """
     keys = right.select(F.col(right_key).alias("__k")).where("__k is not null").distinct().withColumn("__hit", F.lit(True))
-    facts = right.agg(F.count(F.lit(1)).alias("__rows"), F.count(F.when(F.col(right_key).isNull(), 1)).alias("__nulls"))
-    joined = left.join(keys, left[left_key] == F.col("__k"), "left").crossJoin(F.broadcast(facts))
-    unknown = (F.col("__nulls") > 0) | (left[left_key].isNull() & (F.col("__rows") > 0))
+    facts = right.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(right_key).isNull(), 1)).alias("nulls")).alias("f")).scalar()
+    joined = left.join(keys, left[left_key] == F.col("__k"), "left")
+    unknown = (facts["nulls"] > 0) | (left[left_key].isNull() & (facts["n"] > 0))
     value = F.when(F.col("__hit"), F.lit(True)).when(unknown, F.lit(None).cast("boolean")).otherwise(F.lit(False))
-    return joined.withColumn(mark, value).drop("__k", "__hit", "__rows", "__nulls")
+    return joined.withColumn(mark, value).drop("__k", "__hit")
 
 
 def updated(df: DataFrame, assignments: Mapping[str, Column], where: Column | None = None) -> DataFrame:
