@@ -97,10 +97,9 @@ def host_verdicts(failed: DataFrame, host: str = "source", limit: float = HOST_L
     rate = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("v"))
     strength = F.when(F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.when(F.col("v") > 0, F.col("v")) - 1, F.lit(1.0))).otherwise(1.0)
-    # the prior is one row, so this pairs each host with it and nothing else
-    joined = hosts.crossJoin(F.broadcast(prior.select("m", strength.alias("k"))))
-    shrunk = (F.col("n_failed") + F.col("m") * F.col("k")) / (F.col("n_docs") + F.col("k"))
-    return joined.select("_host", "n_docs", "n_failed", shrunk.alias("host_rate"), (shrunk >= limit).alias("host_failed"))
+    p = prior.select(F.struct("m", strength.alias("k"))).scalar()
+    shrunk = (F.col("n_failed") + p["m"] * p["k"]) / (F.col("n_docs") + p["k"])
+    return hosts.select("_host", "n_docs", "n_failed", shrunk.alias("host_rate")).withColumn("host_failed", F.col("host_rate") >= limit)
 
 
 def judge(docs: DataFrame, host: str = "source", id_col: str = "doc_id", limit: float = HOST_LIMIT, broadcast_hosts: int = BROADCAST_HOSTS, salt: int = SALT) -> DataFrame:
