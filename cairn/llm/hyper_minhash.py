@@ -1,21 +1,25 @@
 """Near-duplicate documents by HyperMinHash.
 
-A document is the set of its distinct 5-word shingles, each a 64-bit hash. A sketch has 128 registers
+A document is the set of its distinct 5-word shingles, each a 64-bit hash. A sketch has 384 registers
 of 16 bits: the exponent of the least hash value of its bucket (that is, its leading zeros) and the ten
-bits that follow. In the *bucketed* form the hash's top seven bits choose the bucket; buckets of small
-sets would be empty, so sets under ``BUCKETED_FROM`` shingles use the *repeated* form, 128 multiplicative
-hashes of every shingle. Sets within a factor 4/3 of that limit carry both, so any two sets similar
-enough to be linked share a form.
+bits that follow. In the *bucketed* form six hashes of a shingle each choose one of 64 buckets by their
+top bits; buckets of small sets would be empty, so sets under ``BUCKETED_FROM`` shingles use the *repeated*
+form, 384 multiplicative hashes of every shingle. Sets within a factor 4/3 of that limit carry both, so
+any two sets similar enough to be linked share a form.
 
 1. Documents with equal sets form a class; from here on only one row per class takes part.
-2. Bands of four registers are hashed; classes that share a band are candidates. At similarity 0.75
-   a pair shares none of its 32 bands with probability 5e-6.
+2. Bands of six registers are hashed; classes that share a band are candidates. At similarity 0.75
+   a pair shares none of its 64 bands with probability 4e-6 (1.4e-5 in the bucketed form at its smallest).
 3. Each class is compared with the least class of each of its buckets (a star, not all pairs): first by
    the Jaccard estimate from registers, corrected for chance collisions, then by the full sets.
    Verified links are contracted to components.
-4. Where a bucket still holds several components, members outside its main component are compared with
-   all members of other components. A bucket with many of these is split: its members must share one
-   more band. So every pair that shares a bucket is in one component or was compared in full.
+4. Where a bucket still holds several components, members outside its main component meet all members
+   of other components in tiles, by all their registers; pairs that these allow are verified in full,
+   the likeliest first, as each link found saves the other pairs of its components. A bucket with many
+   members outside (documents
+   that share a passage and little else) is split: its members must share one more, later band. A pair
+   at similarity 0.75 all of whose buckets are split shares no second band with probability 5e-5, and
+   a more similar one with far less.
 
 Memory of a task is bounded by a block of rows: no step gathers a bucket or a component. Joins on
 buckets and components are plain shuffles of both sides, which adaptive execution splits when hot.
@@ -42,23 +46,27 @@ from pyspark.sql import functions as F
 from . import common, hashing
 
 SHINGLE = 5
-REGISTERS = 128
-BAND = 4
+#: Registers: rounds of hashing times buckets; a band has one register of each round.
+ROUNDS, BUCKETS = 6, 64
+REGISTERS = ROUNDS * BUCKETS
+BAND = ROUNDS
 #: Links need 100 * intersection >= LEAST * union.
 LEAST = 75
-BUCKETED_FROM = 512
-#: An estimate lower by this much than the threshold is more than five standard deviations off.
-SLACK = 0.2
+BUCKETED_FROM = 256
+#: An estimate lower by this much than the threshold is four standard deviations off.
+SLACK = 0.09
+#: Most rows of a tile in which members of a bucket meet, about.
+TILE_OUTER, TILE_INNER = 256, 1024
 #: Members outside a bucket's main component from which the bucket is split by another band.
-SPLIT_FROM = 64
-#: After so many splits the members left together share nearly every band and are all compared.
-MOST_SPLITS = 4
+SPLIT_FROM = 256
+#: After so many splits all members left together are compared.
+MOST_SPLITS = 2
 
 _COMBINE = np.random.default_rng(5).integers(1, 1 << 63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = np.random.default_rng(6).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = np.random.default_rng(7).integers(1, 1 << 63, REGISTERS, dtype=np.uint64)
-_BITS = 57  # value bits below the seven that choose a bucket
-_BOUNDS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(_BITS)
+_BITS = 57  # bits of a value, below those that choose a bucket
+_BOUNDS = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(58)
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
@@ -92,17 +100,18 @@ def _register(least: np.ndarray) -> np.ndarray:
 
 
 def bucketed(shingles: np.ndarray) -> np.ndarray:
-    """Registers from the least value in each 128th of the hash range; 0 where there is none."""
-    at = np.searchsorted(shingles, _BOUNDS)
-    end = np.append(at[1:], len(shingles))
-    out = np.zeros(REGISTERS, "<u2")
-    some = end > at
-    out[some] = _register(shingles[at[some]] & np.uint64((1 << _BITS) - 1))
-    return out
+    """Registers from the least value in each 64th of the range of each of six hashes; 0 where there is none."""
+    out = np.zeros((BUCKETS, ROUNDS), "<u2")
+    for r in range(ROUNDS):
+        values = np.sort(shingles * _FACTORS[r])
+        at = np.searchsorted(values, _BOUNDS)
+        some = np.append(at[1:], len(values)) > at
+        out[some, r] = _register((values[at[some]] & np.uint64((1 << 58) - 1)) >> np.uint64(1))
+    return out.ravel()
 
 
 def repeated(shingles: np.ndarray) -> np.ndarray:
-    """Registers from the least value of all shingles under each of 128 hashes."""
+    """Registers from the least value of all shingles under each of 384 hashes."""
     return _register((shingles[:, None] * _FACTORS + _OFFSETS).min(0) >> np.uint64(64 - _BITS))
 
 
@@ -110,7 +119,7 @@ def repeated(shingles: np.ndarray) -> np.ndarray:
 def _chance(one: int, two: int, form: str) -> float:
     """Probability that unequal least values of sets of these sizes have equal registers."""
     e = np.arange(1, _BITS + 1)
-    share = REGISTERS if form == "bucketed" else 1
+    share = BUCKETS if form == "bucketed" else 1
 
     def at(n: int) -> np.ndarray:
         return np.exp(-(n / share) * 2.0 ** (e - 1 - _BITS)) - np.exp(-(n / share) * 2.0 ** (e - _BITS))
@@ -145,16 +154,17 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(band, node) for each band of each form that a class carries; a band of empty registers is none."""
+    """(band, at, node, size) for each band of each form that a class carries; a band with an empty register is none.
+
+    ``band`` is a hash of form, place and registers, ``at`` the place.
+    """
 
     def keys(form: str, salt: int) -> Column:
-        width = 2 * BAND
-        part = lambda k: F.substring(form, k * width + 1, F.lit(width))
-        each = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda k: F.struct(part(k).alias("p"), F.xxhash64(F.lit(salt), k, part(k)).alias("h")))
-        whole = F.transform(F.filter(each, lambda x: ~F.contains(x["p"], F.unhex(F.lit("0000"))) | F.lit(salt == 0)), lambda x: x["h"])
-        return F.when(F.col(form).isNotNull(), whole).otherwise(F.array().cast("array<bigint>"))
+        part = lambda k: F.substring(form, k * (2 * BAND) + 1, F.lit(2 * BAND))
+        each = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.when(~F.contains(part(k), F.unhex(F.lit("0000"))), F.struct(F.xxhash64(F.lit(salt), k, part(k)).alias("band"), (k + BUCKETS * salt).cast("short").alias("at"))))
+        return F.when(F.col(form).isNotNull(), F.array_compact(each)).otherwise(F.array().cast("array<struct<band:bigint,at:smallint>>"))
 
-    return classes.select("node", F.explode(F.concat(keys("small", 0), keys("large", 1))).alias("band"))
+    return classes.select("node", F.col("n_shingles").alias("size"), F.explode(F.concat(keys("small", 0), keys("large", 1))).alias("_b")).select("_b.band", "_b.at", "node", "size")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -198,54 +208,146 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of an edge table (a, b): the least node it can reach.
 
-    Each round every component points at the least of its neighbours and itself, pointers are followed
-    twice, and edges are renamed and thinned; components at least halve, so rounds are few.
+    Each round every node points at the least of its neighbours and itself, pointers are followed once
+    more, and the edges are renamed and thinned to those between different nodes that are left. Nodes with
+    an edge at least halve, so rounds are few and each is smaller than the one before.
     """
-    both = common.materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp"))
+    labels: DataFrame | None = None
+    edges = common.materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while True:
-        labels = common.materialize(_follow(labels, labels.select(F.col("node").alias("comp"), F.col("comp").alias("_next"))), "labels")
-        la, lb = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        cross = both.join(la, "a").join(lb, "b").where("cb < ca").groupBy(F.col("ca").alias("comp")).agg(F.min("cb").alias("_next"))
-        cross = common.materialize(cross, "cross")
-        if cross.isEmpty():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = common.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "least")
+        pointers = common.materialize(_follow(least, least), "pointers")
+        left, right = pointers.select(F.col("node").alias("a"), F.col("comp").alias("x")), pointers.select(F.col("node").alias("b"), F.col("comp").alias("y"))
+        thinner = edges.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        thinner = common.materialize(thinner, "edges")
+        common.discard(edges, least)
+        edges = thinner
+        if labels is None:
+            labels = pointers
+        else:
+            followed = common.materialize(_follow(labels, pointers), "labels")
+            common.discard(labels, pointers)
+            labels = followed
+        if edges.isEmpty():
+            common.discard(edges)
             return labels
-        labels = common.materialize(_follow(labels, cross), "labels")
 
 
 def _follow(labels: DataFrame, pointers: DataFrame) -> DataFrame:
     """Labels with each component that has a pointer renamed to where it points."""
-    return labels.join(pointers, "comp", "left").select("node", F.coalesce("_next", "comp").alias("comp"))
+    to = pointers.select(F.col("node").alias("comp"), F.col("comp").alias("_next"))
+    return labels.join(to, "comp", "left").select("node", F.coalesce("_next", "comp").alias("comp"))
+
+
+def _extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: only the components that these join are looked at again."""
+    left, right = labels.select(F.col("node").alias("a"), F.col("comp").alias("x")), labels.select(F.col("node").alias("b"), F.col("comp").alias("y"))
+    between = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    pointers = components(between)
+    added = pointers.join(labels.select("node"), "node", "left_anti")
+    out = common.materialize(_follow(labels, pointers).unionByName(added), "labels")
+    common.discard(labels, pointers)
+    return out
 
 
-def _cross_pairs(members: DataFrame, split_from: int = SPLIT_FROM, most_splits: int = MOST_SPLITS) -> DataFrame | None:
-    """Pairs (a, b) of different components that share a bucket; ``members`` has (band, node, comp).
+def _bucket_pairs(members: DataFrame, classes: DataFrame, best: int | None, split_from: int = SPLIT_FROM, most_splits: int = MOST_SPLITS) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and whose registers allow a link.
 
-    The rows of a bucket outside its main component meet all its rows; a bucket with many of them is
-    replaced by the buckets of its members' further bands.
+    ``members`` has (band, at, node, size, comp). In each bucket the rows outside its main component meet
+    all its rows, in tiles of bounded size, by their registers; a pair is emitted only in the first bucket
+    that it shares. With ``best``, only that many of the most similar pairs of each outer row of a tile.
     """
-    out, bands_of = None, members.select("node", F.col("band").alias("_more"))
+    members = members.withColumn("path", F.array("at"))
+    bands_of, out, temporary = members.select("node", F.col("band").alias("_more"), F.col("at").alias("_more_at")), None, []
     for split in range(most_splits + 1):
         parts = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
         main = parts.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("_m"), F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_comps")).where("_comps > 1")
-        main = main.select("band", F.col("_m.comp").alias("_main"), (F.col("_all") - F.col("_m.n")).alias("_outside"))
+        main = main.select("band", F.col("_m.comp").alias("_main"), "_all", (F.col("_all") - F.col("_m.n")).alias("_outside"))
         mixed = common.materialize(members.join(main, "band"), "mixed")
-        if mixed.isEmpty():
-            return out
-        now = mixed if split == most_splits else mixed.where(F.col("_outside") <= split_from)
-        outer = now.where("comp <> _main").select("band", F.col("node").alias("a"), F.col("comp").alias("ca"), "_main")
-        inner = now.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"))
-        pairs = outer.join(inner, "band").where("ca <> cb and (cb = _main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        out = pairs if out is None else out.union(pairs).distinct()
+        temporary.append(mixed)
+        last = split == most_splits
+        pairs = _compared(mixed if last else mixed.where(F.col("_outside") <= split_from), classes, best)
+        out = pairs if out is None else out.union(pairs)
         large = mixed.where(F.col("_outside") > split_from)
-        if split == most_splits or large.isEmpty():
-            return out
-        members = large.select("band", "node", "comp").join(bands_of, "node").where("_more <> band").select(F.xxhash64(F.least("band", "_more"), F.greatest("band", "_more")).alias("band"), "node", "comp").distinct()
-        sizes = members.groupBy("band").count().where("count > 1").select("band")
-        members = members.join(sizes, "band", "left_semi")
+        if last or large.isEmpty():
+            break
+        members = large.select("band", "at", "path", "node", "size", "comp").join(bands_of, "node").where("_more_at > at")
+        members = members.select(F.xxhash64("band", "_more").alias("band"), F.col("_more_at").alias("at"), F.concat("path", F.array("_more_at")).alias("path"), "node", "size", "comp")
+        sizes = members.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+        members = common.materialize(members.join(sizes, "band", "left_semi"), "split")
+        temporary.append(members)
+    out = common.materialize(out.distinct(), "pairs")
+    common.discard(*temporary)
     return out
 
 
+def _compared(mixed: DataFrame, classes: DataFrame, best: int | None) -> DataFrame:
+    """The pairs of buckets with main components, from tiles of outer rows and members."""
+    tiles_out, tiles_in = F.ceil(F.col("_outside") / TILE_OUTER), F.ceil(F.col("_all") / TILE_INNER)
+    part = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), n)
+    other = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    cols = ["band", "path", "node", "size", "comp", (F.col("comp") == F.col("_main")).alias("main")]
+    outer = mixed.where("comp <> _main").select(*cols, F.lit(True).alias("outer"), part(tiles_out, 1).alias("o"), other(tiles_in).alias("i"))
+    inner = mixed.select(*cols, F.lit(False).alias("outer"), other(tiles_out).alias("o"), part(tiles_in, 2).alias("i"))
+    registers = F.when(F.col("path")[0] < BUCKETS, F.col("small")).otherwise(F.col("large")).alias("registers")
+    rows = outer.union(inner).join(classes.select("node", "small", "large"), "node").select("band", "o", "i", "path", "node", "size", "comp", "main", "outer", registers)
+    rows = rows.repartition("band", "o", "i").sortWithinPartitions("band", "o", "i")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("band", "o", "i")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if key != tuple(keys[:, a]):
+                    if held:
+                        yield _tile(pa.Table.from_batches(held), best)
+                    held, key = [], tuple(keys[:, a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield _tile(pa.Table.from_batches(held), best)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _tile(rows: pa.Table, best: int | None) -> pa.RecordBatch:
+    """The pairs of one tile."""
+    outer = rows.column("outer").to_numpy()
+    node, size, comp, main = (rows.column(c).to_numpy() for c in ("node", "size", "comp", "main"))
+    registers = np.frombuffer(b"".join(rows.column("registers").to_pylist()), "<u2").reshape(len(node), REGISTERS)
+    path = np.array(rows.column("path")[0].as_py())
+    form = "bucketed" if path[0] >= BUCKETS else "repeated"
+    inner = np.flatnonzero(~outer)
+    values, sizes, comps, nodes, mains = registers[inner], size[inner], comp[inner], node[inner], main[inner]
+    left, right = [], []
+    for k in np.flatnonzero(outer).tolist():
+        fits = (comps != comp[k]) & (mains | (node[k] < nodes)) & (100 * np.minimum(sizes, size[k]) >= LEAST * np.maximum(sizes, size[k]))
+        some = np.flatnonzero(fits)
+        if not len(some):
+            continue
+        equal = values[some] == registers[k]
+        c = _chance(1 << (int(size[k]).bit_length() - 1), 1 << (int(size[k]).bit_length() - 1), form)
+        similar = (equal.mean(1) - c) / (1 - c)
+        close = np.flatnonzero(similar >= LEAST / 100 - SLACK)
+        if not len(close):
+            continue
+        shared = equal[close].reshape(-1, BUCKETS, BAND).all(2) & (registers[k].reshape(BUCKETS, BAND) > 0).all(1)
+        before = np.cumsum(shared, 1)
+        at = path % BUCKETS
+        first = (shared[:, at] & (before[:, at] == np.arange(1, len(at) + 1))).all(1)
+        close = close[first]
+        if best is not None and len(close) > best:
+            close = close[np.lexsort([nodes[some[close]], -similar[close]])[:best]]
+        left += [node[k]] * len(close)
+        right += nodes[some[close]].tolist()
+    a, b = np.array(left, np.int64), np.array(right, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = common.pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -261,13 +363,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = common.materialize(_texts_of(docs, classes.join(members.select("node").distinct(), "node", "left_semi")), "texts")
     links = common.materialize(_verified(candidates, texts), "links")
     labels = components(links)
-    placed = members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-    pairs = _cross_pairs(placed)
-    if pairs is not None:
-        pairs = common.materialize(pairs.join(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-        more = common.materialize(_verified(common.materialize(_estimated(pairs, classes), "candidates"), texts), "links")
+    tried = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    temporary = [members, candidates, texts, links]
+    for best in (2, None):
+        # first the likeliest links of each row, for these leave far fewer components to compare in full
+        placed = members.join(labels, "node", "left").select("band", "at", "node", "size", F.coalesce("comp", "node").alias("comp"))
+        pairs = _bucket_pairs(placed, classes, best)
+        fresh = common.materialize(pairs.join(tried, ["a", "b"], "left_anti"), "fresh")
+        more = common.materialize(_verified(fresh, texts), "links")
         if not more.isEmpty():
-            labels = components(links.union(more))
+            labels = _extended(labels, more)
+        tried = tried.union(fresh)
+        temporary += [pairs, fresh, more]
+    common.discard(*temporary)
     grouped = labels.join(classes.select("node", "rep"), "node")
     least = grouped.groupBy("comp").agg(F.min("rep").alias("component"))
     moved = grouped.join(least, "comp").select("node", "component")
