@@ -100,13 +100,15 @@ class Languages:
         self.alphabet = seen
         self.width = len(seen) + 1
         tables = [suffix_automaton(np.searchsorted(seen, t) + 1, self.width) for t in texts]
-        self.base = np.cumsum([0, *map(len, tables)])[:-1].astype(np.int32)
-        shifted = [np.where(t >= 0, t + b, -1) for t, b in zip(tables, self.base, strict=True)]
-        #: Row offset of the next state, so that a step is one addition and one look-up.
-        none = np.full((1, self.width), -1, np.int32)  # the state after an unseen character, which goes nowhere
+        self.base = np.cumsum([0, *map(len, tables)])[:-1]
+        #: The state after an unseen character, which goes nowhere.
         self.dead = sum(map(len, tables)) * self.width
-        self.next = np.concatenate([*shifted, none]).astype(np.int64) * self.width
-        self.next = np.where(self.next >= 0, self.next, -1).ravel().astype(np.int32)
+        #: Row offset of the next state, so that a step is one addition and one look-up.
+        self.next = np.full((sum(map(len, tables)) + 1, self.width), -1, np.int32 if self.dead < 1 << 30 else np.int64)
+        for t, b in zip(tables, self.base.tolist(), strict=True):
+            np.add(t, b, out=self.next[b : b + len(t)], where=t >= 0, casting="unsafe")
+        np.multiply(self.next, self.width, out=self.next, where=self.next >= 0, casting="unsafe")
+        self.next = self.next.ravel()
         self.cost = np.log2([max(len(t), 2) for t in texts])
         self.classes = np.zeros(0x110000, np.uint16)
         self.classes[seen] = np.arange(1, self.width)
@@ -125,7 +127,7 @@ class Languages:
             grid[row, : size[k]] = self.classes[segments[k]]
         grid = np.ascontiguousarray(grid.T).astype(np.int32)
         active = np.searchsorted(-size[order], -np.arange(steps), "left")
-        start = (self.base * self.width).astype(np.int32)[:, None]
+        start = (self.base * self.width).astype(self.next.dtype)[:, None]
         state = np.repeat(start, len(order), 1)
         count = np.ones((len(self.names), len(order)), np.int32)
         for t in range(steps):
