@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .tokens import word_ids
+from .tokens import TOKENIZED_BYTES, word_ids
 
 SEQUENCE = 4096
 END_ID = 1
@@ -132,7 +132,7 @@ def pack_matrices(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | No
 
         tokens = 0
         for batch in batches:
-            for part in common.blocks(batch, "text"):
+            for part in common.blocks(batch, "text", TOKENIZED_BYTES):
                 ids, at = words.encode(common.texts_of(part))
                 end = np.array([END_ID], np.uint32)
                 held += [np.concatenate([ids[a:b], end]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

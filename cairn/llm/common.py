@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one numpy working set covers; a longer single text is still taken whole.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,8 +110,14 @@ def texts_of(batch: pa.RecordBatch, col: str = "text") -> list[str]:
     return [t or "" for t in batch.column(col).to_pylist()]
 
 
+#: Rows and bytes of an Arrow batch, at most, so that long texts don't make it outgrow a worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def pick(df: DataFrame, *cols: str) -> DataFrame:
-    """Only the named columns, however many others there are."""
+    """Only the named columns, however many others there are; batches to Python become bounded ones."""
+    for key, value in BATCH.items():
+        df.sparkSession.conf.set(key, value)
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 

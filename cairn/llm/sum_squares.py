@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .tokens import word_ids
+from .tokens import TOKENIZED_BYTES, word_ids
 
 SEQUENCE = 4096
 END_ID = 1
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = No
 
         words, row = word_ids(tokenizer), TaskContext.get().partitionId() * 7919
         for batch in batches:
-            for part in common.blocks(batch, "text"):
+            for part in common.blocks(batch, "text", TOKENIZED_BYTES):
                 ids, at = words.encode(common.texts_of(part))
                 out: list[tuple] = []
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):

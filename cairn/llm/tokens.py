@@ -16,9 +16,11 @@ import regex
 from . import hashing
 
 #: Words that a worker remembers before it starts afresh; a bound on memory only, never on results.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Pieces of words that a worker remembers as Python objects; likewise only a bound on memory.
-CACHE_PIECES = 100_000
+CACHE_PIECES = 50_000
+#: Text bytes that are tokenized at once.
+TOKENIZED_BYTES = 1 << 20
 #: Words that are only these characters need no normalizer: it would only lower their case.
 _SAFE = re.compile("[!-~¡-ÿ]+")
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")

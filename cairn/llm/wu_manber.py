@@ -157,10 +157,14 @@ def item_blocks(benchmark: DataFrame, limit: int = TABLE_BYTES) -> Iterator[list
     yield out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, min_items: int = MIN_ITEMS, table_bytes: int = TABLE_BYTES) -> DataFrame:
+_VERDICT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_ranges array<long>"
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, min_items: int = MIN_ITEMS, table_bytes: int = TABLE_BYTES, cut: bool = False) -> DataFrame:
     """Per document its words, the words hit, the items hit, whether it is contaminated, and the hit ranges.
 
     ``hit_ranges`` lists [first, end) of maximal runs of hit words. ``keep`` are columns of ``docs`` to keep.
+    With ``cut``, text and n_chars come back too, without the words hit.
     """
     sc = docs.sparkSession.sparkContext
     keep = keep or ["doc_id"]
@@ -170,8 +174,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
         last = k == len(tables) - 1
         out = common.add_columns(
             out,
-            "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_ranges array<long>" if last else "_ranges array<long>, _items array<long>",
-            _scan(sent, k > 0, last, min_items),
+            (_VERDICT + ", text string, n_chars long" * cut) if last else "_ranges array<long>, _items array<long>",
+            _scan(sent, k > 0, last, min_items, cut),
             keep if last else list(dict.fromkeys([*keep, "text"])),
         )
     return out
@@ -194,17 +198,16 @@ def without_ranges(text: str, ranges: list[int]) -> str:
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
     """``docs`` (doc_id, text, lang, source, n_chars) without contaminated documents; others lose the words hit."""
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
-    scored = decontaminate(docs, benchmark, cols, window, min_items).where("not contaminated")
+    return decontaminate(docs, benchmark, cols, window, min_items, cut=True).where("not contaminated").select(*cols)
 
-    def compute(part: pa.RecordBatch) -> list:
-        texts = [without_ranges(t, r) if r else t for t, r in zip(part.column("text").to_pylist(), part.column("hit_ranges").to_pylist(), strict=True)]
-        chars = [len(t) if r else n for t, r, n in zip(texts, part.column("hit_ranges").to_pylist(), part.column("n_chars").to_pylist(), strict=True)]
-        return [texts, chars]
 
-    return common.add_columns(scored, "text string, n_chars long", compute, ["doc_id", "lang", "source"]).select(*cols)
+def _cut(part: pa.RecordBatch, ranges: list[list[int]]) -> list:
+    """Texts without their ranges, and their lengths; both as they were where nothing was hit."""
+    texts = [without_ranges(t, r) if r else t for t, r in zip(part.column("text").to_pylist(), ranges, strict=True)]
+    return [texts, [len(t) if r else n for t, r, n in zip(texts, ranges, part.column("n_chars").to_pylist(), strict=True)]]
 
 
-def _scan(sent, carried: bool, last: bool, min_items: int):
+def _scan(sent, carried: bool, last: bool, min_items: int, cut: bool):
     def compute(part: pa.RecordBatch) -> list:
         data, place = fold(common.texts_of(part))
         found = sent.value.find(data, place)
@@ -224,7 +227,8 @@ def _scan(sent, carried: bool, last: bool, min_items: int):
         count = np.concatenate([[0], np.cumsum(begins)])
         words = np.diff(count[np.append(place, len(data) - 1)]) if n else []
         sha = [hashlib.sha256(",".join(sorted(map(str, own))).encode()).hexdigest() for own in items]
-        return [words, [sum(r[1::2]) - sum(r[::2]) for r in ranges], [len(own) for own in items], sha, [len(own) >= min_items for own in items], ranges]
+        verdict = [words, [sum(r[1::2]) - sum(r[::2]) for r in ranges], [len(own) for own in items], sha, [len(own) >= min_items for own in items], ranges]
+        return verdict + (_cut(part, ranges) if cut else [])
 
     return compute
 
