@@ -2,10 +2,13 @@
 
 A page is cut into blocks at block-level tags. First pass: each block is decided by where it stands
 (menus, headers, footers, sidebars, notices, adverts, forms, reader comments are boilerplate by tag,
-role or class), by its link density, and by its length with its density of stop words. Second pass:
-blocks too short to decide take the label of the nearest decided blocks, those in the same section or
-`div` before those of the same article before any other; between a good and a bad neighbour at the same distance the good one wins inside
-an article, the bad one outside. Good blocks, whole, are the text.
+role or class), by its link density, and by its length with its density of stop words; inside an article
+length alone makes a block good, and outside low density makes none bad in a language the stop words don't
+cover (another script, or a page with next to none of them). Second pass: blocks too short to decide take
+the label of the nearest blocks decided by links, length or density, those in the same section or `div`
+before those of the same article before any other; boilerplate by place is a neighbour only outside
+articles, to a section or `div` with no other. Between a good and a bad neighbour at the same distance the
+good one wins inside an article, the bad one outside. Good blocks, whole, are the text.
 
 Character references are decoded, white space inside a block (line breaks and <br> too) is one space,
 and blocks follow in page order, joined by one line feed. Scripts, styles, markup and comments in the
@@ -56,6 +59,8 @@ LINKS, LONG, DENSITY, SHORT = 0.5, 25, 0.2, 10
 
 _TAGS = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(?=[a-zA-Z/!?])[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_OTHER_SCRIPT = re.compile("[^\\W\\d_A-Za-zªº\u00c0-\u024f\u1e00-\u1eff]")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _WORDS = re.compile(r"[-_\s]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -161,17 +166,26 @@ class _Pages:
                 break
 
 
-def _first_pass(text: str, linked: int, bad: bool, inside: int) -> bool | None:
-    """Good, bad, or undecided."""
-    if bad or linked > LINKS * len(text):
-        return False
+def _measure(text: str) -> tuple[int, int, str]:
+    """Words (two characters each in scripts without spaces), stop words, and the script: latin, other, or none where few characters are letters."""
     words = text.split()
-    if len(words) < SHORT:
+    n, other = len(words), 0
+    if not text.isascii():
+        n, other = max(n, len(_UNSPACED.findall(text)) // 2), len(_OTHER_SCRIPT.findall(text))
+    letters = sum(map(str.isalpha, text))
+    script = "none" if 2 * letters < len(text) else "other" if 2 * other > letters else "latin"
+    return n, sum(w.lower().strip(".,;:!?\"'()") in STOP_WORDS for w in words), script
+
+
+def _first_pass(measure: tuple[int, int, str], inside: int, covered: bool) -> bool | None:
+    """Good, bad, or undecided, of a block that is boilerplate neither by place nor by links."""
+    words, stops, script = measure
+    if words < SHORT:
         return None
-    density = sum(w.lower().strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if density >= DENSITY and (inside or len(words) >= LONG):
+    foreign = script == "other" or script == "latin" and not covered
+    if inside or words >= LONG and (foreign or stops >= DENSITY * words):
         return True
-    if not inside and len(words) >= LONG and density < DENSITY / 4:
+    if words >= LONG and stops < DENSITY / 4 * words:
         return False
     return None
 
@@ -181,14 +195,18 @@ def extract(page: str | None) -> str:
     blocks = _Pages(page or "").blocks
     if not blocks:
         return ""
-    first = [_first_pass(text, linked, bad, inside) for text, linked, bad, _, inside in blocks]
+    measures = [None if bad or linked > LINKS * len(text) else _measure(text) for text, linked, bad, _, _ in blocks]
+    latin = [m for m in measures if m and m[2] == "latin"]
+    covered = sum(m[1] for m in latin) >= DENSITY / 4 * sum(m[0] for m in latin)
+    first = [_first_pass(m, block[4], covered) if m else False for m, block in zip(measures, blocks, strict=True)]
     decided = [k for k, v in enumerate(first) if v is not None]
     good = []
     for k, (text, _, _, container, inside) in enumerate(blocks):
         verdict = first[k]
         if verdict is None:
             own = [d for d in decided if blocks[d][4] == inside] if inside else decided
-            near = [d for d in own if blocks[d][3] == container] or own
+            judged = [d for d in own if not blocks[d][2]]
+            near = [d for d in judged if blocks[d][3] == container] or (judged if inside else own)
             if inside and not any(first[d] for d in own):
                 # nothing good to inherit in this article: what isn't links or boilerplate is its text
                 verdict = True

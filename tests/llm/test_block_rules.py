@@ -21,6 +21,22 @@ def test_only_short_blocks_of_an_article_are_kept_whole():
     assert br.extract("<nav>menu</nav><article><h1>A</h1><p>B</p></article><footer>c</footer>") == "A\nB"
 
 
+def test_article_text_next_to_boilerplate_is_kept():
+    names = "Anna Bell, Carl Dorn, Emil Falk, Gerd Horn, Ines Jung, Karl Lang, Mona Nord 1912 1934"
+    for other in ("<aside>ad</aside>", "<nav>Contents</nav>", "<form>Your name</form>", "<p class=ad>x</p>"):
+        assert br.extract(f"<article><h1>Title</h1>{other}<p>{LONG}</p>{other}<p>{names}</p>{other}<p>End.</p></article>") == f"Title\n{LONG}\n{names}\nEnd."
+    assert br.extract(f"<article><p>{LONG}</p><ul><li><a href=a>one more page</a></ul><p>{names}</p></article>") == f"{LONG}\n{names}"
+    assert br.extract(f"<div><h2>Title</h2><nav>x</nav><p>{LONG}</p></div>") == f"Title\n{LONG}"
+    assert br.extract(f"<header>Site</header><div>Skip it</div><div><p>{LONG}</p></div>") == LONG
+
+
+def test_languages_without_stop_words():
+    for text in ("Talo seisoo joen rannalla " * 8, "Дом стоит на берегу реки " * 8, "房子在河邊" * 15):
+        assert br.extract(f"<nav>menu</nav><div><p>{text}</p><p>{LONG}</p></div>" if text[0] != "T" else f"<nav>menu</nav><div><p>{text}</p></div>").startswith(text.strip())
+    assert br.extract(f"<div><p>{LONG}</p></div><div><p>{'cheap shoes sale ' * 10}</p></div>") == LONG
+    assert br.extract(f"<div>{'12 345 ' * 20}</div>") == ""
+
+
 def test_defined_cases():
     assert br.extract(None) == br.extract("") == br.extract("   ") == br.extract("<nav>a</nav>") == ""
     assert br.extract("<article><p>cut &amp here &am</p><p>more</p><foot") == "cut & here &am\nmore"
