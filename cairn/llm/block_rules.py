@@ -58,7 +58,7 @@ STOP_WORDS = frozenset(
 LINKS, LONG, DENSITY, SHORT = 0.5, 25, 0.2, 10
 
 _TAGS = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(?=[a-zA-Z/!?])[^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _OTHER_SCRIPT = re.compile("[^\\W\\d_A-Za-zªº\u00c0-\u024f\u1e00-\u1eff]")
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _WORDS = re.compile(r"[-_\s]+|(?<=[a-z])(?=[A-Z])")
@@ -71,6 +71,8 @@ def _marked(attributes: str, inside: bool) -> bool:
         name = name.lower()
         if name == "hidden" and not value:
             return True
+        if name not in ("class", "id", "role"):
+            continue
         if name == "role":
             if value.lower() in ROLES:
                 return True

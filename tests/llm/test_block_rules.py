@@ -30,6 +30,13 @@ def test_article_text_next_to_boilerplate_is_kept():
     assert br.extract(f"<header>Site</header><div>Skip it</div><div><p>{LONG}</p></div>") == LONG
 
 
+def test_attributes_are_read_by_whole_names():
+    for attributes in ('class="post" style="overflow:hidden"', 'title="the hidden coast"', 'data-id="share-12"', "data-x='class=ad'", 'data-hidden aria-hidden="false"', "alt=hidden", 'title = "id=nav"', "data-role=banner"):
+        assert br.extract(f"<article {attributes}><p>{LONG}</p></article>") == LONG, attributes
+    for attributes in ("hidden", "HIDDEN=''", 'style="a" hidden', "title='x'class='ad'", "ID = sidebar", 'role="navigation"', "data-a/class=ad"):
+        assert br.extract(f"<article><p>{LONG}</p><div {attributes}><p>{LONG} x</p></div></article>") == LONG, attributes
+
+
 def test_languages_without_stop_words():
     for text in ("Talo seisoo joen rannalla " * 8, "Дом стоит на берегу реки " * 8, "房子在河邊" * 15):
         assert br.extract(f"<nav>menu</nav><div><p>{text}</p><p>{LONG}</p></div>" if text[0] != "T" else f"<nav>menu</nav><div><p>{text}</p></div>").startswith(text.strip())
