@@ -15,11 +15,10 @@ any two sets similar enough to be linked share a form.
    Verified links are contracted to components.
 4. Where a bucket still holds several components, members outside its main component meet all members
    of other components in tiles, by all their registers; pairs that these allow are verified in full,
-   the likeliest first, as each link found saves the other pairs of its components. A bucket with many
-   members outside (documents
-   that share a passage and little else) is split: its members must share one more, later band. A pair
-   at similarity 0.75 all of whose buckets are split shares no second band with probability 5e-5, and
-   a more similar one with far less.
+   the likeliest first, as each link found saves the other pairs of its components. While these are
+   sought, a bucket with many members outside (documents that share a passage and little else) is split:
+   its members must share one more, later band. What is still apart then is compared in whole buckets,
+   so the size of a bucket decides nothing; time and tiles grow with the square of the members outside.
 
 Memory of a task is bounded by a block of rows: no step gathers a bucket or a component. Joins on
 buckets and components are plain shuffles of both sides, which adaptive execution splits when hot.
@@ -57,7 +56,7 @@ BUCKETED_FROM = 256
 SLACK = 0.09
 #: Most rows of a tile in which members of a bucket meet, about.
 TILE_OUTER, TILE_INNER = 256, 1024
-#: Members outside a bucket's main component from which the bucket is split by another band.
+#: Members outside a bucket's main component from which the bucket is split by another band, as the likeliest links are sought.
 SPLIT_FROM = 256
 #: After so many splits all members left together are compared.
 MOST_SPLITS = 2
@@ -257,6 +256,7 @@ def _bucket_pairs(members: DataFrame, classes: DataFrame, best: int | None, spli
     ``members`` has (band, at, node, size, comp). In each bucket the rows outside its main component meet
     all its rows, in tiles of bounded size, by their registers; a pair is emitted only in the first bucket
     that it shares. With ``best``, only that many of the most similar pairs of each outer row of a tile.
+    Pairs without a second shared band are left out where a bucket is split; ``most_splits`` of 0 compares all.
     """
     members = members.withColumn("path", F.array("at"))
     bands_of, out, temporary = members.select("node", F.col("band").alias("_more"), F.col("at").alias("_more_at")), None, []
@@ -368,7 +368,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for best in (2, None):
         # first the likeliest links of each row, for these leave far fewer components to compare in full
         placed = members.join(labels, "node", "left").select("band", "at", "node", "size", F.coalesce("comp", "node").alias("comp"))
-        pairs = _bucket_pairs(placed, classes, best)
+        pairs = _bucket_pairs(placed, classes, best) if best else _bucket_pairs(placed, classes, None, most_splits=0)
         fresh = common.materialize(pairs.join(tried, ["a", "b"], "left_anti"), "fresh")
         more = common.materialize(_verified(fresh, texts), "links")
         if not more.isEmpty():

@@ -84,6 +84,27 @@ def test_shared_passages_and_split_buckets(docs, monkeypatch):
     assert got_of(hm.near_duplicates(docs(rows))) == want
 
 
+def test_a_pair_with_one_band_in_a_large_bucket_is_linked(spark, docs, monkeypatch):
+    """Registers made so that all documents share the first band, and the two similar ones no other."""
+    rng, numbers = random.Random(8), np.random.default_rng(8)
+    texts = [" ".join(words(rng, 40)) for _ in range(30)]
+    nodes = [hm._node(s) for s in hm.shingle_sets(texts)]
+    center = nodes.index(min(nodes))
+    texts[center], texts[0] = texts[0], texts[center]
+    texts[2] = texts[1] + " x"
+    assert min(nodes) < hm._node(hm.shingle_sets(texts[2:3])[0])
+    registers = numbers.integers(1, 1 << 16, (len(texts), hm.REGISTERS)).astype("<u2")
+    registers[:, : hm.BAND] = 7
+    registers[2] = registers[1]
+    registers[2, hm.BAND :: hm.BAND] ^= 1
+    made = spark.createDataFrame([(k, r.tobytes()) for k, r in enumerate(registers)], "doc_id long, made binary")
+    real = hm.sketches
+    monkeypatch.setattr(hm, "sketches", lambda d: real(d).join(made, "doc_id").select("doc_id", "n_shingles", "node", made["made"].alias("small"), "large"))
+    monkeypatch.setattr(hm._bucket_pairs, "__defaults__", (5, 2))
+    rows = [*enumerate(texts)]
+    assert got_of(hm.near_duplicates(docs(rows))) == brute(rows)
+
+
 def test_nulls_repeats_and_empty_tables(docs):
     text = "a b c d e f g h i j"
     rows = [(5, text), (5, text), (3, text + " "), (None, text), (None, "only without an id here"), (7, None), (8, ""), (8, "")]
