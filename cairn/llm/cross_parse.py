@@ -9,7 +9,9 @@ cross-entropy wins, and ties go to the first in alphabetical order.
 Documents are parsed whole, in segments of ``SEGMENT`` normalised characters. Many segments step
 through all automata together, one character at a time, in numpy. Training rows are those with
 crc32(doc_id as text) mod 4 other than 2 and a language; each language's sample takes at most ``SLOTS``
-documents chosen by hash and ``SAMPLE_CHARS`` characters in all.
+documents chosen by hash and ``SAMPLE_CHARS`` characters in all. Where there are more characters, each
+document gives as many as the others, or all it has: an excerpt from a place chosen by hash, so that the
+openings that documents share don't fill the sample.
 
 Normalised: lower case, and every run of characters that aren't letters is one space.
 
@@ -179,14 +181,30 @@ def learn(docs: DataFrame, slots: int = SLOTS, most_chars: int = SAMPLE_CHARS) -
     """Automata from the bounded sample of each language's training rows."""
     rows = common.pick(docs, "doc_id", "text", "lang").where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     samples: dict[str, list[str]] = {}
-    # no document needs to give more than its share of the sample
-    share = max(1, 4 * most_chars // slots)
-    picked = common.slot_sample(rows, slots, by=["lang"]).select("lang", "doc_id", F.substring("text", 1, share).alias("text"))
-    for lang, _, text in picked.orderBy("lang", F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+    picked = common.slot_sample(rows, slots, by=["lang"]).select("lang", "doc_id", F.trim(F.regexp_replace("text", "\\P{L}+", " ")).alias("text"))
+    whole = common.materialize(picked.withColumn("n", F.length("text") + 1), "picked")
+    lengths: dict[str, list[int]] = {}
+    for lang, n in whole.select("lang", "n").toLocalIterator():
+        lengths.setdefault(lang, []).append(n)
+    share = F.create_map(*[F.lit(x) for lang, ns in lengths.items() for x in (lang, even_share(ns, most_chars))]) if lengths else F.create_map().cast("map<string,int>")
+    picked = whole.withColumn("share", share[F.col("lang")] - 1)
+    at = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.greatest(F.col("n") - F.col("share"), F.lit(1))).cast("int") + 1
+    for lang, _, text in picked.select("lang", "doc_id", F.substring("text", at, F.col("share")).alias("text")).orderBy("lang", F.xxhash64("doc_id"), "doc_id").toLocalIterator():
         samples.setdefault(lang, []).append(text)
+    common.discard(whole)
     return Languages(samples, most_chars)
 
 
+def even_share(lengths: list[int], most: int) -> int:
+    """The most characters, two at least, that each of these texts may give so that all give at most ``most`` together."""
+    left = most
+    for k, n in enumerate(sorted(lengths)):
+        if n * (len(lengths) - k) > left:
+            return max(2, left // (len(lengths) - k))
+        left -= n
+    return max(2, *lengths)
+
+
 def identify(docs: DataFrame, languages: Languages, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of each document with held_out, lang_pred and score."""
     sent = docs.sparkSession.sparkContext.broadcast(languages)

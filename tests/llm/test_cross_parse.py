@@ -82,6 +82,19 @@ def test_cases(docs):
     assert by_id(cp.identify(table, cp.learn(table), ["doc_id", "score", "kept"]))[0].kept == "no"
 
 
+def test_samples_are_shared_evenly_and_not_openings(docs):
+    assert cp.even_share([10, 5, 100, 100], 75) == 30 and cp.even_share([3, 4], 60) == 4 and cp.even_share([50], 20) == 20
+    letters = "abcdefghijklmnopqrstuv"
+    trained = [k for k in range(60) if zlib.crc32(str(k).encode()) % 4 != 2][: len(letters)]
+    # the same opening, longer than a share, in each; then a letter of its own
+    rows = [(k, "1 2 3 " * 500 + "zy " * 100 + f"{c} " * 3000, ("en",)) for k, c in zip(trained, letters, strict=True)]
+    learned = cp.learn(docs(rows), slots=4096, most_chars=2000)
+    found = set(map(chr, learned.alphabet)) & set(letters)
+    assert len(found) >= len(letters) - 4
+    few = cp.learn(docs([(k, "abc def", ("en",)) for k in trained[:3]]))
+    assert set(map(chr, few.alphabet)) == set("abcdef ")
+
+
 def test_learning_ignores_held_out_rows(docs):
     rows = [(k, "abc abc abc" if zlib.crc32(str(k).encode()) % 4 != 2 else "xyz xyz", ("en",)) for k in range(200)]
     assert set(map(chr, cp.learn(docs(rows)).alphabet)) == set("abc ")
