@@ -1,7 +1,7 @@
 """Corpus pipeline over documents: language, near duplicates, benchmark leaks, personal data, packing.
 
-Each stage works on all that its predecessor kept, and its decisions take effect: documents in no learned
-language go, one document of each near-duplicate group stays, contaminated documents go and single leaked
+Each stage works on all that its predecessor kept, and its decisions take effect: documents without
+letters go (any other has the best of the learned languages), one document of each near-duplicate group stays, contaminated documents go and single leaked
 passages are cut out, personal data is replaced by its kind, and what remains is packed. Stages carry the
 columns of ``documents`` only; the last returns the pieces of the packed sequences.
 """
@@ -16,7 +16,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is one of the learned ones; null texts and texts without letters go."""
+    """Documents that are given a learned language; null texts and texts without letters go, and all do if nothing was learned."""
     docs = common.pick(docs, *COLUMNS)
     found = cross_parse.identify(docs, cross_parse.learn(docs), list(COLUMNS))
     return found.where(found["lang_pred"] != cross_parse.UNKNOWN).select(*COLUMNS)
