@@ -7,22 +7,24 @@ Input are messages (conv_id, turn, role, text). A message may carry blocks
 
 and a transcript without blocks is read as exchanges: a `user` turn is a call of ``reply`` whose
 identifier is its turn and whose arguments are its text, and the `assistant` turn right after it is that
-call's result. Calls and results are hash-joined by (conv_id, identifier). Arguments are checked against
+call's result. Exchanges and blocks are name spaces of their own: an identifier means the one only among
+exchanges, the other only among blocks. Calls and results are hash-joined by (conv_id, space, identifier). Arguments are checked against
 a table of schemas. Calls are put in topological order: a call comes after the message that makes it,
 after the calls it depends on, and before its result.
 
 Order keys instead of positions: ``order_turn`` is the latest turn among a call and all it depends on,
 ``order_level`` the longest chain of dependencies that reaches it from there. Sorting by (order_turn,
 order_level, call_turn, call_id) is a topological order of a conversation. No step gathers a conversation:
-every join and aggregate is by (conv_id, identifier), so one that holds a third of all rows is spread.
+every join and aggregate is by (conv_id, space, identifier), so one that holds a third of all rows is spread.
 
 Canonical JSON has sorted keys, no white space and unescaped non-ASCII characters.
 
 Defined cases: messages with null text carry nothing, as exchanges they are the empty text; null conv_id
 or turn are ignored; repeated rows count once; of several calls or results with one identifier the
 first by (turn, text) counts and ``n_results`` tells how many there were; a result without a call is an
-`orphan`, a call without a result `unanswered`; malformed JSON makes a call with null name and
-``args_valid`` false; calls in or behind a cycle have null order keys; empty tables give no rows;
+`orphan`, a call without a result `unanswered`; a block without an identifier gets one made from its turn,
+its place in the message and its hash, so such calls are each their own and such results orphans; malformed JSON makes a call with null name and
+``args_valid`` false, and a result with null content; calls in or behind a cycle have null order keys; empty tables give no rows;
 other columns are ignored.
 """
 
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+KEY = ["conv_id", "space", "call_id"]
 #: The schema of exchanges: (tool, argument, JSON type, required).
 REPLY_SCHEMA = (("reply", "role", "string", True), ("reply", "text", "string", True), ("reply", "turn", "integer", True))
 
@@ -49,41 +52,46 @@ def quoted(text: Column) -> Column:
 
 
 def _blocks(messages: DataFrame, tag: str) -> DataFrame:
-    body = F.explode(F.regexp_extract_all("text", F.lit(f"(?s)<{tag}>\\s*(.*?)\\s*</{tag}>"), F.lit(1)))
-    return messages.where(F.col("text").contains(f"<{tag}>")).select("conv_id", "turn", body.alias("body"))
+    body = F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s)<{tag}>\\s*(.*?)\\s*</{tag}>"), F.lit(1)))
+    return messages.where(F.col("text").contains(f"<{tag}>")).select("conv_id", F.lit("block").alias("space"), "turn", body.alias("place", "body"))
 
 
 def _field(name: str) -> Column:
     return F.try_variant_get(F.try_parse_json("body"), f"$.{name}", "string")
 
 
+def _identifier(kind: str) -> Column:
+    made = F.concat(F.lit(f"?{kind}."), F.col("turn").cast("string"), F.lit("."), F.col("place").cast("string"), F.lit("."), F.sha2("body", 256))
+    return F.coalesce(_field("id"), made).alias("call_id")
+
+
 def block_calls(messages: DataFrame) -> DataFrame:
-    """Calls in tool blocks: conv_id, call_id, call_turn, name, args (JSON), depends_on."""
+    """Calls in tool blocks: conv_id, space, call_id, call_turn, name, args (JSON), depends_on."""
     args = F.try_variant_get(F.try_parse_json("body"), "$.arguments", "variant")
     wanted = F.try_variant_get(F.try_parse_json("body"), "$.depends_on", "array<string>")
-    return _blocks(messages, "tool_call").select("conv_id", F.coalesce(_field("id"), F.concat(F.lit("?"), F.sha2("body", 256))).alias("call_id"), F.col("turn").alias("call_turn"), _field("name").alias("name"), F.to_json(args).alias("args"), F.coalesce(wanted, F.array().cast("array<string>")).alias("depends_on"))
+    return _blocks(messages, "tool_call").select("conv_id", "space", _identifier("call"), F.col("turn").alias("call_turn"), _field("name").alias("name"), F.to_json(args).alias("args"), F.coalesce(wanted, F.array().cast("array<string>")).alias("depends_on"))
 
 
 def block_results(messages: DataFrame) -> DataFrame:
-    """Results in tool blocks: conv_id, call_id, result_turn, content."""
+    """Results in tool blocks: conv_id, space, call_id, result_turn, content."""
     content = F.to_json(F.try_variant_get(F.try_parse_json("body"), "$.content", "variant"))
-    return _blocks(messages, "tool_response").select("conv_id", _field("id").alias("call_id"), F.col("turn").alias("result_turn"), content.alias("content"))
+    return _blocks(messages, "tool_response").select("conv_id", "space", _identifier("result"), F.col("turn").alias("result_turn"), content.alias("content"))
 
 
 def exchange_calls(messages: DataFrame) -> DataFrame:
     """User turns as calls of `reply`."""
     args = F.to_json(F.struct(F.col("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("turn")))
-    return messages.where("role = 'user'").select("conv_id", F.col("turn").cast("string").alias("call_id"), F.col("turn").alias("call_turn"), F.lit("reply").alias("name"), args.alias("args"), F.array().cast("array<string>").alias("depends_on"))
+    return messages.where("role = 'user'").select("conv_id", F.lit("exchange").alias("space"), F.col("turn").cast("string").alias("call_id"), F.col("turn").alias("call_turn"), F.lit("reply").alias("name"), args.alias("args"), F.array().cast("array<string>").alias("depends_on"))
 
 
 def exchange_results(messages: DataFrame) -> DataFrame:
     """Assistant turns as results of the user turn right before."""
-    return messages.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).cast("string").alias("call_id"), F.col("turn").alias("result_turn"), quoted(F.coalesce("text", F.lit(""))).alias("content"))
+    return messages.where("role = 'assistant'").select("conv_id", F.lit("exchange").alias("space"), (F.col("turn") - 1).cast("string").alias("call_id"), F.col("turn").alias("result_turn"), quoted(F.coalesce("text", F.lit(""))).alias("content"))
 
 
 def _first(rows: DataFrame, *by: str) -> DataFrame:
     """One row per identifier, the first by the given columns, and in _n how many different ones there were."""
-    return rows.distinct().groupBy("conv_id", "call_id").agg(F.min(F.struct(*by)).alias("_f"), F.count(F.lit(1)).alias("_n")).select("conv_id", "call_id", "_f.*", "_n")
+    return rows.distinct().groupBy(*KEY).agg(F.min(F.struct(*by)).alias("_f"), F.count(F.lit(1)).alias("_n")).select(*KEY, "_f.*", "_n")
 
 
 def _json_type(shape: Column) -> Column:
@@ -105,24 +113,24 @@ def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def order_keys(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, order_turn, order_level) of all calls that are neither in nor behind a cycle.
+    """(conv_id, space, call_id, order_turn, order_level) of all calls that are neither in nor behind a cycle.
 
     Rounds take the calls all of whose dependencies have keys; there are as many as the longest chain
     of dependencies has links, and none without dependencies. An unknown dependency asks for nothing.
     """
-    free = calls.select("conv_id", "call_id", F.col("call_turn").alias("order_turn"), F.lit(0).cast("long").alias("order_level"))
-    pairs = calls.select("conv_id", "call_id", "call_turn", F.explode(F.array_distinct("depends_on")).alias("dep"))
+    free = calls.select(*KEY, F.col("call_turn").alias("order_turn"), F.lit(0).cast("long").alias("order_level"))
+    pairs = calls.select(*KEY, "call_turn", F.explode(F.array_distinct("depends_on")).alias("dep"))
     if pairs.isEmpty():
         return free
-    names = calls.select("conv_id", F.col("call_id").alias("dep"))
-    edges = common.materialize(pairs.join(names, ["conv_id", "dep"], "left_semi"), "edges")
-    done = common.materialize(free.join(edges, ["conv_id", "call_id"], "left_anti"), "ordered")
+    names = calls.select("conv_id", "space", F.col("call_id").alias("dep"))
+    edges = common.materialize(pairs.join(names, ["conv_id", "space", "dep"], "left_semi"), "edges")
+    done = common.materialize(free.join(edges, KEY, "left_anti"), "ordered")
     while True:
-        at = done.select("conv_id", F.col("call_id").alias("dep"), F.struct("order_turn", (F.col("order_level") + 1).alias("order_level")).alias("_d"))
-        todo = edges.join(done, ["conv_id", "call_id"], "left_anti").join(at, ["conv_id", "dep"], "left")
-        ready = todo.groupBy("conv_id", "call_id").agg(F.max("_d").alias("_d"), F.bool_and(F.col("_d").isNotNull()).alias("_all"), F.max("call_turn").alias("_t")).where("_all")
+        at = done.select("conv_id", "space", F.col("call_id").alias("dep"), F.struct("order_turn", (F.col("order_level") + 1).alias("order_level")).alias("_d"))
+        todo = edges.join(done, KEY, "left_anti").join(at, ["conv_id", "space", "dep"], "left")
+        ready = todo.groupBy(*KEY).agg(F.max("_d").alias("_d"), F.bool_and(F.col("_d").isNotNull()).alias("_all"), F.max("call_turn").alias("_t")).where("_all")
         best = F.greatest(F.col("_d"), F.struct(F.col("_t").alias("order_turn"), F.lit(0).cast("long").alias("order_level")))
-        more = common.materialize(ready.select("conv_id", "call_id", best.alias("_b")).select("conv_id", "call_id", "_b.*"), "ordered")
+        more = common.materialize(ready.select(*KEY, best.alias("_b")).select(*KEY, "_b.*"), "ordered")
         if more.isEmpty():
             return done
         done = done.unionByName(more)
@@ -134,9 +142,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     results = results.where("conv_id is not null and result_turn is not null and call_id is not null")
     one = _first(calls, "call_turn", "name", "args", "depends_on").drop("_n")
     got = _first(results, "result_turn", "content").withColumnRenamed("_n", "n_results")
-    joined = validate(one, schemas).hint("shuffle_hash").join(got, ["conv_id", "call_id"], "full")
+    joined = validate(one, schemas).hint("shuffle_hash").join(got, KEY, "full")
     keys = order_keys(one)
-    joined = joined.join(keys, ["conv_id", "call_id"], "left")
+    joined = joined.join(keys, KEY, "left")
     called, answered = F.col("call_turn").isNotNull(), F.col("result_turn").isNotNull()
     record = F.concat(
         F.lit('{"arguments":'), F.coalesce(canonical(F.col("args")), F.lit("null")),

@@ -67,6 +67,16 @@ def test_topological_order_and_cycles(table):
     assert sorted(keys, key=keys.get) == ["g", "a", "b", "c"]
 
 
+def test_blocks_and_exchanges_keep_all_their_records(table):
+    bare = '<tool_call>{"name": "f", "arguments": {}}</tool_call>'
+    rows = [(1, 1, "user", "hi"), (1, 2, "assistant", call("1", "f") + bare), (1, 3, "tool", answer("1", 7) + '<tool_response>{"content": 8}</tool_response><tool_response>{broken</tool_response>'), (1, 4, "planner", bare + bare)]
+    got = tool_links.format_chats(table([(*r, "x", 1) for r in rows], SCHEMA)).where("status <> 'message'").collect()
+    assert sorted((r.name, r.status, r.n_results) for r in got if r.call_id == "1") == [("f", "linked", 1), ("reply", "linked", 1)]
+    assert sorted(r.call_turn for r in got if r.name == "f" and r.call_id != "1") == [2, 4, 4]
+    assert sorted((r.result_turn, json.loads(r.record)["result"] or 0) for r in got if r.status == "orphan") == [(3, 0), (3, 8)]
+    assert len(got) == 7 and all(r.order_turn == r.call_turn for r in got)
+
+
 def test_empty_table_and_long_text(table):
     assert formatted(table, []) == {}
     long = "word " * 200_000
