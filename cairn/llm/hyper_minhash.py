@@ -350,6 +350,11 @@ def _tile(rows: pa.Table, best: int | None) -> pa.RecordBatch:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
+    return _verdicts(docs).drop("node")
+
+
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """The same with the hash of the set, node."""
     docs = common.pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     sketch = common.materialize(sketches(docs), "sketch")
     some = sketch.where("n_shingles > 0")
@@ -383,13 +388,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alone = F.col("n_shingles") == 0
     out = sketch.select("doc_id", "n_shingles", "node").join(verdict, "node", "left")
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "node", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is kept; repeated rows become one, rows without a doc_id stay."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).distinct().unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` that are kept, each by its own text; repeated rows become one, rows without a doc_id stay."""
+    verdicts = common.materialize(_verdicts(docs).where("doc_id is not null").select("doc_id", "node", "kept").distinct(), "verdicts")
+    ids = verdicts.groupBy("doc_id").agg(F.bool_and("kept").alias("all"), F.bool_or("kept").alias("some")).where("some")
+    clear = docs.join(ids.where("all"), "doc_id", "left_semi").select(*docs.columns)
+
+    def compute(part: pa.RecordBatch) -> list:
+        return [[_node(s) for s in shingle_sets(common.texts_of(part))]]
+
+    # texts that share a doc_id and not its verdict are told apart by their sets
+    shared = common.add_columns(docs.join(ids.where("not all"), "doc_id", "left_semi").select(*docs.columns), "_set long", compute, docs.columns)
+    own = shared.join(verdicts.where("kept").select("doc_id", F.col("node").alias("_set")), ["doc_id", "_set"], "left_semi").select(*docs.columns)
+    return clear.unionByName(own).distinct().unionByName(docs.where("doc_id is null"))
 
 
 def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:

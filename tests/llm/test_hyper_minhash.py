@@ -115,6 +115,13 @@ def test_nulls_repeats_and_empty_tables(docs):
     assert Counter(r.doc_id for r in kept) == Counter([3, 7, 8, None, None])
 
 
+def test_rows_that_share_a_doc_id_are_kept_by_their_own_text(docs):
+    one, two = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, one), (5, one), (5, two), (5, two), (6, None)]
+    assert sorted((r.doc_id, r.text) for r in hm.deduplicate(docs(rows)).where("text is not null").collect()) == [(1, one), (5, two)]
+    assert hm.deduplicate(docs(rows)).count() == 3
+
+
 def test_estimates_are_near_the_truth():
     rng = np.random.default_rng(2)
     for n, form in ((40, hm.repeated), (200, hm.repeated), (600, hm.bucketed), (5000, hm.bucketed)):
