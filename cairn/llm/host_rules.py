@@ -3,8 +3,10 @@
 Each text is measured inside its row (words, characters, symbols, repeated lines and 3-word windows)
 by array functions, so a long text costs its own task only and nothing is exploded. Failures of the
 rules are counted per host with a partial aggregate. An empirical beta prior is fitted to the hosts'
-failure rates by the method of moments; each host's rate is shrunk towards it, and a host whose shrunk
-rate is at least ``host_limit`` is failed together with its documents.
+failure rates by the method of moments, and each host's rate is shrunk towards it. The limit follows from
+the prior: a host is failed, with its documents, if its shrunk rate lies above the prior's mean and one
+of its standard deviations even when ``SURE`` deviations of the host's own posterior are taken off. Hosts
+that are alike leave a narrow prior and pass whatever their rate; a host fails for being worse than its kind.
 
 Host counts hold one row per host. They are broadcast back only if there are at most
 ``broadcast_hosts`` of them; beyond that the join shuffles both sides with each host in ``salt``
@@ -26,59 +28,37 @@ from . import common
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Rules of a document that count as failures of its host, beside the base rule: percent of characters that are symbols, of lines that are repeated.
 MOST_SYMBOLS, MOST_DUP_LINES = 10, 50
-HOST_LIMIT = 0.9
+#: Standard deviations of the prior above its mean that a host may reach, and those of its posterior by which it must be beyond.
+SPREAD, SURE = 1.0, 3.0
 BROADCAST_HOSTS = 100_000
 SALT = 32
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once per row, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _covered(words: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more.
+def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns and the base measures of each text, in time linear in the text but for a sort.
 
-    Windows are sorted with their places, neighbours that agree are repeated ones, and the covered words
-    are counted from the sorted starts: each start adds what the next one leaves of its three words.
+    Each step is a projection of its own, so that words and windows are computed once and all but three
+    lambdas run as generated code. Only texts whose windows aren't all different sort them, with their
+    places; neighbours that agree are repeated windows, and the places they cover are counted.
     """
-    n = F.size(words)
-    starts = F.sequence(F.lit(0), n - 3)
-    windows = F.array_sort(F.transform(starts, lambda i: F.struct(F.xxhash64(words[i], words[i + 1], words[i + 2]).alias("h"), i.alias("i"))))
-
-    def repeated(s: Column) -> Column:
-        before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(s, 1, F.size(s) - 1))
-        after = F.concat(F.slice(s, 2, F.size(s) - 1), F.array(F.lit(None).cast("struct<h:bigint,i:int>")))
-        same = F.zip_with(F.zip_with(s, before, lambda x, b: F.struct(x.alias("x"), (x["h"] == b["h"]).alias("b"))), after, lambda x, a: F.when(F.coalesce(x["b"], F.lit(False)) | F.coalesce(x["x"]["h"] == a["h"], F.lit(False)), x["x"]["i"]))
-        return let(F.array_sort(F.array_compact(same)), count)
-
-    def count(p: Column) -> Column:
-        gaps = F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
-        return F.aggregate(gaps, F.lit(0).cast("long"), lambda t, g: t + g)
-
-    return F.when(n >= 4, let(windows, repeated)).otherwise(F.lit(0)).cast("long")
-
-
-def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns and the base measures of each text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    space, word = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]"
-    symbols = "#*$%&|<>"
-    split = F.split(F.regexp_replace(t, f"^{space}|{space}$", ""), space)
-    words = F.when(F.length(F.regexp_replace(t, space, "")) == 0, F.array().cast("array<string>")).otherwise(split)
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(word))
-    one = let(
-        words,
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
-            (F.length(t) - F.length(F.translate(t, symbols, ""))).cast("long").alias("n_symbols"),
-            let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-            let(lines, F.size).cast("long").alias("n_lines"),
-            _covered(w).alias("n_repeat_words"),
-        ),
-    )
-    return docs.select(*[F.col(c) for c in keep], one.alias("_m")).select(*keep, "_m.*")
+    space, symbols = "[\\x20\\x09-\\x0D]", "[#*$%&|<>]"
+    # lines of white space only become empty ones, which are no lines; the others stay as they are
+    lines = F.array_remove(F.split(F.regexp_replace(t, "(?md)^[\\x20\\x09\\x0B-\\x0D]++$", ""), "\n"), "")
+    words = docs.select(*keep, F.array_remove(F.split(t, f"{space}+"), "").alias("_w"), lines.alias("_l"), F.regexp_count(t, F.lit(symbols)).cast("long").alias("n_symbols"))
+    n = F.size("_w")
+    window = lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
+    windows = words.select(
+        *keep, n.cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), "n_symbols",
+        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), F.size("_l").cast("long").alias("n_lines"),
+        F.when(n > 3, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(3)) - 3), window)).otherwise(F.array().cast("array<bigint>")).alias("_h"),
+    )
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines"]
+    placed = F.arrays_zip(F.col("_h"), F.sequence(F.lit(1), F.size("_h")).alias("_i"))
+    several = windows.select(*keep, *own, F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(placed)).alias("_s"))
+    again = lambda x, k: (x["_h"] == F.get("_s", k - 1)["_h"]) | (x["_h"] == F.get("_s", k + 1)["_h"])
+    covered = F.flatten(F.transform(F.filter("_s", again), lambda x: F.array(x["_i"], x["_i"] + 1, x["_i"] + 2)))
+    return several.select(*keep, *own, F.coalesce(F.size(F.array_distinct(covered)), F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def _failures(m: DataFrame) -> DataFrame:
@@ -87,8 +67,8 @@ def _failures(m: DataFrame) -> DataFrame:
     return m.withColumn("base_failed", base).withColumn("_failed", base | more)
 
 
-def host_verdicts(failed: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """Per host: documents, failures, the shrunk failure rate, and whether the host fails.
+def host_verdicts(failed: DataFrame, host: str = "source", spread: float = SPREAD, sure: float = SURE) -> DataFrame:
+    """Per host: documents, failures, the shrunk failure rate, the limit, and whether the host fails.
 
     The prior's mean and strength come from the hosts' rates, each host once: with mean m and variance
     v the strength is m(1-m)/v - 1, at least 1; without variance (or with one host) it is 1.
@@ -97,16 +77,20 @@ def host_verdicts(failed: DataFrame, host: str = "source", limit: float = HOST_L
     rate = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("v"))
     strength = F.when(F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.when(F.col("v") > 0, F.col("v")) - 1, F.lit(1.0))).otherwise(1.0)
-    p = prior.select(F.struct("m", strength.alias("k"))).scalar()
+    hosts = hosts.withColumn("_p", prior.select(F.struct("m", strength.alias("k"))).scalar())
+    p = F.col("_p")
     shrunk = (F.col("n_failed") + p["m"] * p["k"]) / (F.col("n_docs") + p["k"])
-    return hosts.select("_host", "n_docs", "n_failed", shrunk.alias("host_rate")).withColumn("host_failed", F.col("host_rate") >= limit)
+    limit = p["m"] + spread * F.sqrt(p["m"] * (1 - p["m"]) / (p["k"] + 1))
+    off = sure * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("n_docs") + p["k"] + 1))
+    rated = hosts.select("_host", "n_docs", "n_failed", shrunk.alias("host_rate"), limit.alias("host_limit"), "_p")
+    return rated.withColumn("host_failed", F.col("host_rate") - off > F.col("host_limit")).drop("_p")
 
 
-def judge(docs: DataFrame, host: str = "source", id_col: str = "doc_id", limit: float = HOST_LIMIT, broadcast_hosts: int = BROADCAST_HOSTS, salt: int = SALT) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", id_col: str = "doc_id", spread: float = SPREAD, sure: float = SURE, broadcast_hosts: int = BROADCAST_HOSTS, salt: int = SALT) -> DataFrame:
     """Measures and verdicts of every document."""
     m = measures(docs.select(F.col(id_col).alias("doc_id"), F.col(host).alias("_host"), F.col("text").alias("_text")), ["doc_id", "_host"], "_text")
     failed = common.materialize(_failures(m), "quality")
-    verdicts = common.materialize(host_verdicts(failed, "_host", limit), "hosts").select("_host", "host_rate", "host_failed")
+    verdicts = common.materialize(host_verdicts(failed, "_host", spread, sure), "hosts").select("_host", "host_rate", "host_failed")
     if verdicts.count() <= broadcast_hosts:
         joined = failed.join(F.broadcast(verdicts), failed["_host"].eqNullSafe(verdicts["_host"]), "left")
     else:
@@ -125,8 +109,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 x AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
-r AS (SELECT x.doc_id, x.i FROM x JOIN (SELECT doc_id, s FROM x GROUP BY doc_id, s HAVING count(*) > 1) g ON g.doc_id = x.doc_id AND g.s = x.s),
-c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY doc_id),
+g AS (SELECT x.doc_id, x.i FROM x JOIN (SELECT doc_id, s FROM x GROUP BY doc_id, s HAVING count(*) > 1) y ON y.doc_id = x.doc_id AND y.s = x.s),
+c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g) GROUP BY doc_id),
 l AS (SELECT doc_id, count(*) AS n_lines, count(DISTINCT s) AS n_distinct FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS s FROM d) WHERE regexp_matches(s, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, source, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
@@ -139,7 +123,8 @@ f AS (
 h AS (SELECT source, count(*) AS n, sum(CAST(failed AS INT)) AS k FROM f GROUP BY source),
 p AS (SELECT avg(k / n) AS m, coalesce(var_samp(k / n), 0) AS v FROM h),
 q AS (SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1) ELSE 1 END AS s FROM p),
-v AS (SELECT source, (k + m * s) / (n + s) >= 0.9 AS host_failed FROM h, q)
+r AS (SELECT source, n, s, m, (k + m * s) / (n + s) AS rate FROM h, q),
+v AS (SELECT source, rate - 3 * sqrt(rate * (1 - rate) / (n + s + 1)) > m + sqrt(m * (1 - m) / (s + 1)) AS host_failed FROM r)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept
 FROM f JOIN v ON v.source IS NOT DISTINCT FROM f.source

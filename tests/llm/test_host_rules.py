@@ -59,3 +59,25 @@ def test_host_rate(spark):
     m, v = 1 / 3, 1 / 3
     k = max(m * (1 - m) / v - 1, 1)
     assert abs(got["a"].host_rate - (2 + m * k) / (2 + k)) < 1e-12 and not got[None].host_failed
+
+
+def test_runs_of_white_space_and_symbols_take_linear_time(spark):
+    for run, n_words, n_lines in ((" ", 2, 1), ("\t", 2, 1), ("\n", 2, 2), (" \n", 2, 2), ("#", 1, 1), ("\r ", 2, 1)):
+        text = "x" + run * 1_000_000 + "y"
+        got = host_rules.measures(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"]).collect()[0]
+        assert (got.n_words, got.n_lines, got.n_dup_lines, got.n_symbols) == (n_words, n_lines, 0, 1_000_000 * (run == "#"))
+
+
+def test_a_host_fails_for_being_worse_than_its_kind(spark):
+    """Nine hosts with rates about 0.1 to 0.2 and one with 0.5: that one goes, unless it has too few documents to tell."""
+
+    def hosts(size):
+        rows = [(f"h{k}", j < size * (0.1 + 0.1 * (k % 3) / 2)) for k in range(9) for j in range(size)]
+        return spark.createDataFrame([*rows, *(("bad", j < size // 2) for j in range(size))], "_host string, _failed boolean")
+
+    def failing(df):
+        return {r["_host"] for r in host_rules.host_verdicts(df, "_host").collect() if r.host_failed}
+
+    assert failing(hosts(200)) == {"bad"} and failing(hosts(10)) == set()
+    alike = spark.createDataFrame([(f"h{k}", j < 70 + k % 3) for k in range(9) for j in range(100)], "_host string, _failed boolean")
+    assert failing(alike) == set()
