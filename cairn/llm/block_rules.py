@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import html as html_module
 import re
+from bisect import bisect_left
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,12 +41,16 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id attributes that mark boilerplate.
+#: Words of class and id attributes that mark boilerplate, as a name's last word or followed by words of `PARTS` only.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner sidebar sidebars menu navbar nav navigation breadcrumb breadcrumbs "
     "footer masthead cookie cookies consent gdpr notice notices alert comment comments disqus respond replies related recommended share sharing social newsletter "
     "subscribe subscription popup modal overlay widget widgets toolbar pagination pager skip login signup search".split()
 )
+PARTS = frozenset(
+    "area bar block body bottom box btn button buttons col column container content cta form grid group head heading holder icon icons inner item items left link links list main "
+    "message outer page panel policy post posts primary region right root row secondary section slot text title top unit wrap wrapper zone".split()
+)
 #: The same, but not inside an article, where a header is its own.
 OUTER_MARKS = frozenset("header topbar".split())
 #: Frequent function words of the languages the rules know.
@@ -77,13 +83,19 @@ def _marked(attributes: str, inside: bool) -> bool:
             if value.lower() in ROLES:
                 return True
             continue
-        for token in value.split():
-            words = [w.lower() for w in _WORDS.split(token) if w]
-            if words and words[0] not in ("has", "with", "no", "without") and (words[0] in MARKS or words[-1] in MARKS or not inside and (words[0] in OUTER_MARKS or words[-1] in OUTER_MARKS)):
-                return True
+        if any(_names_boilerplate([w.lower() for w in _WORDS.split(token) if w], inside) for token in value.split()):
+            return True
     return False
 
 
+def _names_boilerplate(words: list[str], inside: bool) -> bool:
+    """Whether the words of a name end in a mark, or are a mark and words for parts of a page: share-buttons, not share-of-profits."""
+    if not words or words[0] in ("has", "with", "no", "without"):
+        return False
+    marks = MARKS if inside else MARKS | OUTER_MARKS
+    return words[-1] in marks or words[0] in marks and all(w in PARTS or w in marks or not w.isalpha() for w in words[1:])
+
+
 class _Pages:
     """Cuts one page into blocks: (text, characters inside links, boilerplate by place, number of the container, of the article or 0)."""
 
@@ -92,6 +104,8 @@ class _Pages:
         self.parts: list[str] = []
         self.linked = 0
         self.stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
+        #: By tag, and for articles as a whole, where it stands in the stack.
+        self.opened: dict[str, list[int]] = defaultdict(list)
         self.containers, self.in_link = 0, 0
         at, n = 0, len(page)
         find = _TAGS.search
@@ -151,6 +165,8 @@ class _Pages:
             container = self.containers
         main = inside or (container if tag in MAIN and not bad else 0)
         bad = bad or tag in BOILERPLATE or (tag == "header" and not inside) or _marked(attributes, main > 0)
+        for name in (tag, *("MAIN",) * (tag in MAIN)):
+            self.opened[name].append(len(self.stack))
         self.stack.append((tag, bad, container, main))
 
     def close(self, tag: str) -> None:
@@ -160,12 +176,16 @@ class _Pages:
         if tag not in BLOCK and tag != "button":
             return
         self.flush()
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                break
-            if self.stack[k][0] in MAIN and tag not in MAIN and tag not in BOILERPLATE:
-                break
+        if not self.opened[tag]:
+            return
+        k = self.opened[tag][-1]
+        if tag not in MAIN and tag not in BOILERPLATE and self.opened["MAIN"] and self.opened["MAIN"][-1] > k:
+            return  # an end tag that has no start in the article doesn't end the article
+        for name, *_ in self.stack[k:]:
+            self.opened[name].pop()
+            if name in MAIN:
+                self.opened["MAIN"].pop()
+        del self.stack[k:]
 
 
 def _measure(text: str) -> tuple[int, int, str]:
@@ -201,26 +221,48 @@ def extract(page: str | None) -> str:
     latin = [m for m in measures if m and m[2] == "latin"]
     covered = sum(m[1] for m in latin) >= DENSITY / 4 * sum(m[0] for m in latin)
     first = [_first_pass(m, block[4], covered) if m else False for m, block in zip(measures, blocks, strict=True)]
-    decided = [k for k, v in enumerate(first) if v is not None]
-    good = []
-    for k, (text, _, _, container, inside) in enumerate(blocks):
-        verdict = first[k]
-        if verdict is None:
-            own = [d for d in decided if blocks[d][4] == inside] if inside else decided
-            judged = [d for d in own if not blocks[d][2]]
-            near = [d for d in judged if blocks[d][3] == container] or (judged if inside else own)
-            if inside and not any(first[d] for d in own):
+    verdicts = _second_pass(first, blocks)
+    return "\n".join(block[0] for block, good in zip(blocks, verdicts, strict=True) if good)
+
+
+def _second_pass(first: list[bool | None], blocks: list[tuple[str, int, bool, int, int]]) -> list[bool]:
+    """Verdicts of all blocks. Decided blocks are listed by article and container once, and neighbours found by bisection."""
+    # places of decided blocks: of the page (0) or of an article, all or without those bad by place; and of a container in these
+    own, judged, near = defaultdict(list), defaultdict(list), defaultdict(list)
+    some_good: set[int] = set()
+    for k, v in enumerate(first):
+        if v is None:
+            continue
+        _, _, by_place, container, inside = blocks[k]
+        for article in {0, inside}:
+            own[article].append(k)
+            if not by_place:
+                judged[article].append(k)
+                near[article, container].append(k)
+            if v:
+                some_good.add(article)
+    out = []
+    for k, v in enumerate(first):
+        if v is None:
+            _, _, _, container, inside = blocks[k]
+            if inside and inside not in some_good:
                 # nothing good to inherit in this article: what isn't links or boilerplate is its text
-                verdict = True
-            elif near:
-                least = min(abs(d - k) for d in near)
-                labels = {first[d] for d in near if abs(d - k) == least}
-                verdict = labels.pop() if len(labels) == 1 else inside > 0
+                v = True
             else:
-                verdict = False
-        if verdict:
-            good.append(text)
-    return "\n".join(good)
+                v = _inherited(k, near[inside, container] or (judged if inside else own)[inside], first, inside > 0)
+        out.append(v)
+    return out
+
+
+def _inherited(k: int, places: list[int], first: list[bool | None], tie: bool) -> bool:
+    """The label of the nearest of the places, ``tie`` between different ones at one distance, bad without any."""
+    j = bisect_left(places, k)
+    around = places[max(j - 1, 0) : j + 1]
+    if not around:
+        return False
+    least = min(abs(d - k) for d in around)
+    labels = {first[d] for d in around if abs(d - k) == least}
+    return bool(labels.pop()) if len(labels) == 1 else tie
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

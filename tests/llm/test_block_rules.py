@@ -1,3 +1,6 @@
+import random
+import time
+
 from cairn.llm import block_rules as br
 from cairn.llm import queries
 
@@ -73,3 +76,63 @@ def test_query_gives_each_article(spark, tiny):
         body = re.sub(r"<[^>]*$", "", pages[r.page_id].partition("<article>")[2].partition("</article>")[0])
         parts = [" ".join(html.unescape(re.sub("<[^>]+>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)[^>]*>", body)]
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+
+
+def two_passes(first, blocks):
+    """The second pass by its definition: every decided block is looked at for every undecided one."""
+    out = []
+    for k, (_, _, _, container, inside) in enumerate(blocks):
+        decided = [d for d in range(len(first)) if first[d] is not None and (not inside or blocks[d][4] == inside)]
+        clean = [d for d in decided if not blocks[d][2]]
+        near = [d for d in clean if blocks[d][3] == container] or (clean if inside else decided)
+        if first[k] is not None:
+            out.append(first[k])
+        elif inside and not any(first[d] for d in decided):
+            out.append(True)
+        elif not near:
+            out.append(False)
+        else:
+            labels = {first[d] for d in near if abs(d - k) == min(abs(e - k) for e in near)}
+            out.append(labels.pop() if len(labels) == 1 else inside > 0)
+    return out
+
+
+def test_second_pass_matches_its_definition():
+    rng = random.Random(6)
+    for _ in range(400):
+        article, blocks, first = 0, [], []
+        for k in range(rng.randrange(25)):
+            if rng.random() < 0.2:
+                article = rng.choice([0, k + 1])
+            container = rng.randrange(3) + 10 * article
+            bad = rng.random() < 0.2
+            blocks.append((f"b{k}", 0, bad, container, article))
+            first.append(False if bad else rng.choice([True, False, None, None]))
+        assert br._second_pass(first, blocks) == two_passes(first, blocks)
+
+
+def test_pages_match_both_passes_by_definition(monkeypatch):
+    """Random pages of articles, sections and furniture: the text is that of the two passes as they are defined."""
+    rng, real = random.Random(7), br._second_pass
+    pieces = ["<p>" + LONG + "</p>", "<p>Short {0}.</p>", "<p>Anna Bell, Carl Dorn, Emil Falk, Gerd Horn, Ines Jung, Karl Lang {0}</p>", "<nav>menu {0}</nav>", "<p><a href=x>link {0}</a></p>", "<div>", "</div>", "<section>", "</section>", "<article>", "</article>", "<aside>x {0}</aside>", "</ul>"]
+    for _ in range(200):
+        page = "".join(rng.choice(pieces).format(k) for k in range(rng.randrange(30)))
+        got = br.extract(page)
+        monkeypatch.setattr(br, "_second_pass", two_passes)
+        assert got == br.extract(page)
+        monkeypatch.setattr(br, "_second_pass", real)
+
+
+def test_pages_of_ten_megabytes_take_seconds():
+    unclosed = "<article>" + "<div>" * 50_000 + f"<p>{LONG}</p></ul></p></section>" * 60_000
+    for page in (f"<div><p>Short.</p><p>{LONG}</p></div>" * 70_000, "<article>" + "<p>Short one.</p>" * 600_000, "<div>" * 100_000 + "<p>x</p></div>" * 600_000, unclosed, "<p>x" * 2_000_000, "<a " * 3_000_000, "<!--" * 2_000_000):
+        begun = time.perf_counter()
+        br.extract(page)
+        assert time.perf_counter() - begun < 30
+
+
+def test_marks_are_whole_names():
+    for name in ("search-results-explained", "share-of-profits", "related-rights", "notice-and-takedown", "ad-hoc"):
+        assert br.extract(f"<article><div class='{name}'><p>{LONG}</p></div></article>") == LONG, name
+    for name in ("search-box", "shareButtons", "ad-slot-2", "site-footer", "post-comments", "cookie_banner", "sidebar", "comment-list", "widget widget-area"):
+        assert br.extract(f"<article><p>{LONG}</p><div class='{name}'><p>{LONG} x</p></div></article>") == LONG, name
