@@ -69,10 +69,36 @@ def remaining(df: DataFrame, where: Column | None = None) -> DataFrame:
 
 
 def rewrite_table(spark, table: str, rows: DataFrame) -> None:
-    """Replaces a catalog table's rows by ``rows``, which may read the table: written beside it, then swapped in."""
-    beside = f"{table}_{uuid.uuid4().hex[:12]}"
-    rows.write.format("parquet").saveAsTable(beside)
+    """Replaces a catalog table's rows by ``rows``, which may read the table.
+
+    The new rows are written to a table of their own, of the same schema, format and partitioning, which
+    then takes the name: whatever fails, the old rows are whole, under the table's name or (if even
+    renaming back fails) the one with ``_old``. A table at a place of its own is overwritten there, and if
+    that fails the new rows stay in the table beside it, which the error names.
+    """
+    mark = uuid.uuid4().hex[:12]
+    beside, old = f"{table}_{mark}", f"{table}_{mark}_old"
+    spark.sql(f"CREATE TABLE {beside} LIKE {table}")
+    try:
+        rows.write.insertInto(beside)
+    except BaseException:
+        spark.sql(f"DROP TABLE {beside}")
+        raise
+    if spark.catalog.getTable(table).tableType == "EXTERNAL":
+        try:
+            spark.table(beside).write.mode("overwrite").insertInto(table)
+        except BaseException as failed:
+            raise RuntimeError(f"{table} could not be overwritten; its new rows are whole in {beside}") from failed
+        spark.sql(f"DROP TABLE {beside}")
+        return
+    moved = False
     try:
-        spark.table(beside).write.mode("overwrite").insertInto(table)
-    finally:
+        spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+        moved = True
+        spark.sql(f"ALTER TABLE {beside} RENAME TO {table}")
+    except BaseException:
+        if moved:
+            spark.sql(f"ALTER TABLE {old} RENAME TO {table}")
         spark.sql(f"DROP TABLE {beside}")
+        raise
+    spark.sql(f"DROP TABLE {old}")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import UserDefinedTableFunction
 
 from ..functions import dialect
 from ..functions.dialect import DialectError, UnsupportedFeature
@@ -62,6 +63,16 @@ class Engine:
         elif self.prepared.pop(name, None) is None:
             raise DialectError(f"no prepared statement {name}")
 
+    def create_function(self, name: str, f: Callable, returns: str | None = None) -> None:
+        """Names a Python function for this session's statements: a plain one, a pandas UDF (scalar or aggregate), or a table function made by ``udtf``.
+
+        SQL functions are made by CREATE FUNCTION, and are the better choice where they can say the same: Catalyst sees into them.
+        """
+        if isinstance(f, UserDefinedTableFunction):
+            self.spark.udtf.register(name, f)
+        else:
+            self.spark.udf.register(name, f, returns)
+
     def table(self, name: str) -> DataFrame:
         """A table or view; the default schema is the current database."""
         return self.spark.table(name.removeprefix("main."))

@@ -112,6 +112,68 @@ def test_tables_inserts_updates_deletes(engine, spark):
     assert not spark.catalog.tableExists("t")
 
 
+@pytest.mark.parametrize("fails_at", ["insert", "first rename", "second rename"])
+def test_a_failed_change_loses_no_rows(engine, spark, monkeypatch, fails_at):
+    engine.execute_batch("DROP TABLE IF EXISTS safe; CREATE TABLE safe(a INT, b STRING) USING parquet PARTITIONED BY (b); INSERT INTO safe VALUES (1, 'x'), (2, 'y'), (3, NULL)")
+    before, tables, real = set(rows(engine.sql("SELECT * FROM safe"))), {t.name for t in spark.catalog.listTables()}, type(spark).sql
+    renames = []
+
+    def failing(self, text, *args, **kw):
+        if "RENAME TO" in text:
+            renames.append(text)
+            if len(renames) == {"first rename": 1, "second rename": 2}.get(fails_at):
+                raise OSError("no more disk")
+        return real(self, text, *args, **kw)
+
+    monkeypatch.setattr(type(spark), "sql", failing)
+    with pytest.raises(Exception):  # noqa: B017
+        engine.sql("UPDATE safe SET a = a + 1" if fails_at != "insert" else "UPDATE safe SET a = CAST(raise_error('no') AS INT) WHERE a = 2")
+    monkeypatch.undo()
+    assert set(rows(engine.sql("SELECT * FROM safe"))) == before
+    assert {t.name for t in spark.catalog.listTables()} == tables
+    engine.sql("UPDATE safe SET a = a + 1 WHERE b = 'x'")
+    assert set(rows(engine.sql("SELECT * FROM safe"))) == before - {(1, "x")} | {(2, "x")}
+    engine.sql("DELETE FROM safe WHERE a = 2")
+    assert set(rows(engine.sql("SELECT * FROM safe"))) == {(3, None)}
+    engine.sql("DROP TABLE safe")
+
+
+def test_a_table_at_its_own_place_is_changed_there(engine, spark, tmp_path, monkeypatch):
+    engine.execute_batch(f"CREATE TABLE placed(a INT) USING parquet LOCATION '{tmp_path}/placed'; INSERT INTO placed VALUES (1), (2); DELETE FROM placed WHERE a = 1")
+    assert rows(spark.read.parquet(f"{tmp_path}/placed")) == rows(engine.sql("SELECT * FROM placed")) == [(2,)]
+    from pyspark.sql import DataFrameWriter
+
+    real = DataFrameWriter.insertInto
+    monkeypatch.setattr(DataFrameWriter, "insertInto", lambda self, name, *a, **k: real(self, name, *a, **k) if name != "placed" else 1 / 0)
+    with pytest.raises(RuntimeError, match="whole in placed_") as failed:
+        engine.sql("UPDATE placed SET a = 5")
+    monkeypatch.undo()
+    beside = str(failed.value).split()[-1]
+    assert rows(engine.sql(f"SELECT * FROM {beside}")) == [(5,)]
+    engine.execute_batch(f"DROP TABLE {beside}; DROP TABLE placed")
+
+
+def test_python_functions(engine, spark):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf, udtf
+
+    def spread(v: pd.Series) -> float:
+        return float(v.max() - v.min())
+
+    engine.create_function("plus_two", lambda x: None if x is None else x + 2, "int")
+    engine.create_function("spread", pandas_udf(spread, "double"))
+
+    class Twice:
+        def eval(self, x: int):
+            yield x, x
+            yield x, -x
+
+    engine.create_function("twice_rows", udtf(Twice, returnType="x int, y int"))
+    assert rows(engine.sql("SELECT plus_two(a) FROM VALUES (1), (NULL) AS v(a)")) == [(3,), (None,)]
+    assert rows(engine.sql("SELECT spread(a) FROM VALUES (1.0D), (4.5D) AS v(a)")) == [(3.5,)]
+    assert rows(engine.sql("SELECT * FROM twice_rows(3)")) == [(3, 3), (3, -3)]
+
+
 def test_databases_views_functions_settings(engine, spark):
     engine.execute_batch("CREATE DATABASE extra; CREATE SCHEMA other; DROP DATABASE extra; DROP SCHEMA other")
     engine.execute_batch("CREATE TEMP VIEW v AS SELECT 1 AS a; CREATE TEMPORARY FUNCTION twice(x INT) RETURNS INT RETURN 2 * x; SET spark.sql.shuffle.partitions=4")
