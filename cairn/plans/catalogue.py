@@ -6,6 +6,7 @@ are explicit, and every computed column is named, so results don't depend on the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import compose
 from ..sources import catalog
+from .engine import Engine
 
 Tables = Callable[[str], DataFrame]
 _QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
@@ -533,3 +535,33 @@ def tvf_range(t):
 @query("SELECT unnest([5, 6, NULL]) AS x")
 def tvf_explode(t):
     return t("region").sparkSession.sql("SELECT x FROM explode(array(5, 6, NULL)) AS e(x)")
+
+
+# --- statements that change a table, seen through a SELECT
+
+
+def _changed(rows: DataFrame, *statements: str) -> DataFrame:
+    """The rows of a new table, at first ``rows``, after statements that name it `{t}`. The table stays in the session's warehouse, as the result reads it."""
+    spark, name = rows.sparkSession, f"changed_{uuid.uuid4().hex[:12]}"
+    rows.write.saveAsTable(name)
+    engine = Engine(spark)
+    for s in statements:
+        engine.sql(s.format(t=name))
+    return engine.table(name)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3 UNION ALL SELECT c_custkey + 1000000, upper(c_mktsegment) FROM customer WHERE c_acctbal > 9000 UNION ALL VALUES (-1, NULL), (-2, 'two')")
+def dml_insert(t):
+    customers = t("customer")
+    customers.createOrReplaceTempView("dml_customer")
+    return _changed(customers.where("c_nationkey = 3").select("c_custkey", "c_name"), "INSERT INTO {t} SELECT c_custkey + 1000000, upper(c_mktsegment) FROM dml_customer WHERE c_acctbal > 9000", "INSERT INTO {t} VALUES (-1, NULL), (-2, 'two')")
+
+
+@query("SELECT o_orderkey, CASE WHEN nullif(o_custkey, 7) < 500 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey, CASE WHEN nullif(o_custkey, 7) < 500 THEN lower(o_orderstatus) ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def dml_update(t):
+    return _changed(t("orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "UPDATE {t} SET o_custkey = o_custkey + 1, o_orderstatus = lower(o_orderstatus) WHERE nullif(o_custkey, 7) < 500")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE NOT coalesce(nullif(o_orderpriority, '1-URGENT') LIKE '2%' OR o_orderkey % 10 = 3, false)")
+def dml_delete(t):
+    return _changed(t("orders").select("o_orderkey", "o_orderpriority"), "DELETE FROM {t} WHERE nullif(o_orderpriority, '1-URGENT') LIKE '2%' OR o_orderkey % 10 = 3")
