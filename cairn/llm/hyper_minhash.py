@@ -4,7 +4,8 @@ A document is the set of its distinct 5-word shingles, each a 64-bit hash. A ske
 of 16 bits: the exponent of the least hash value of its bucket (that is, its leading zeros) and the ten
 bits that follow. In the *bucketed* form six hashes of a shingle each choose one of 64 buckets by their
 top bits; buckets of small sets would be empty, so sets under ``BUCKETED_FROM`` shingles use the *repeated*
-form, 384 multiplicative hashes of every shingle. Sets within a factor 4/3 of that limit carry both, so
+form, 384 multiplicative hashes of every shingle. (Empty buckets filled from others would not do: of 1,500 simulated
+pairs of 8-shingle sets at similarity 0.75 three shared no band then.) Sets within a factor 4/3 of that limit carry both, so
 any two sets similar enough to be linked share a form.
 
 1. Documents with equal sets form a class; from here on only one row per class takes part.
@@ -264,8 +265,9 @@ def _bucket_pairs(members: DataFrame, classes: DataFrame, best: int | None, spli
         parts = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
         main = parts.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("_m"), F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_comps")).where("_comps > 1")
         main = main.select("band", F.col("_m.comp").alias("_main"), "_all", (F.col("_all") - F.col("_m.n")).alias("_outside"))
+        main = common.materialize(main, "main")
         mixed = common.materialize(members.join(main, "band"), "mixed")
-        temporary.append(mixed)
+        temporary += [main, mixed]
         last = split == most_splits
         pairs = _compared(mixed if last else mixed.where(F.col("_outside") <= split_from), classes, best)
         out = pairs if out is None else out.union(pairs)
@@ -360,16 +362,19 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     some = sketch.where("n_shingles > 0")
     # registers follow from the set, so they are grouping keys and not aggregates
     classes = common.materialize(some.groupBy("node", "n_shingles", "small", "large").agg(F.min("doc_id").alias("rep")), "classes")
-    rows = bands(classes)
-    full = rows.groupBy("band").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "center")
-    members = common.materialize(rows.join(full, "band"), "members")
-    stars = members.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+    rows = common.materialize(bands(classes), "bands")
+    # only hashes are shuffled to learn which bands are shared; few are
+    shared = common.materialize(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "shared")
+    members = common.materialize(rows.join(shared, "band"), "members")
+    common.discard(rows, shared)
+    centers = common.materialize(members.groupBy("band").agg(F.min("node").alias("center")), "centers")
+    stars = members.join(centers, "band").where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     candidates = common.materialize(_estimated(stars, classes), "candidates")
     texts = common.materialize(_texts_of(docs, classes.join(members.select("node").distinct(), "node", "left_semi")), "texts")
     links = common.materialize(_verified(candidates, texts), "links")
     labels = components(links)
     tried = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    temporary = [members, candidates, texts, links]
+    temporary = [members, centers, candidates, texts, links]
     for best in (2, None):
         # first the likeliest links of each row, for these leave far fewer components to compare in full
         placed = members.join(labels, "node", "left").select("band", "at", "node", "size", F.coalesce("comp", "node").alias("comp"))
@@ -381,10 +386,13 @@ def _verdicts(docs: DataFrame) -> DataFrame:
         tried = tried.union(fresh)
         temporary += [pairs, fresh, more]
     common.discard(*temporary)
-    grouped = labels.join(classes.select("node", "rep"), "node")
-    least = grouped.groupBy("comp").agg(F.min("rep").alias("component"))
+    # what is joined with a hot component or node is a table of its own, so that adaptive execution can split the other side
+    grouped = common.materialize(labels.join(classes.select("node", "rep"), "node"), "grouped")
+    least = common.materialize(grouped.groupBy("comp").agg(F.min("rep").alias("component")), "least")
     moved = grouped.join(least, "comp").select("node", "component")
     verdict = classes.select("node", "rep").join(moved, "node", "left").select("node", F.coalesce("component", "rep").alias("component"))
+    verdict = common.materialize(verdict, "verdict")
+    common.discard(labels, grouped, least, classes)
     alone = F.col("n_shingles") == 0
     out = sketch.select("doc_id", "n_shingles", "node").join(verdict, "node", "left")
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
@@ -392,18 +400,21 @@ def _verdicts(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, each by its own text; repeated rows become one, rows without a doc_id stay."""
-    verdicts = common.materialize(_verdicts(docs).where("doc_id is not null").select("doc_id", "node", "kept").distinct(), "verdicts")
-    ids = verdicts.groupBy("doc_id").agg(F.bool_and("kept").alias("all"), F.bool_or("kept").alias("some")).where("some")
-    clear = docs.join(ids.where("all"), "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that are kept, each by its own text; repeated rows become one, rows without a doc_id stay.
+
+    Texts are shuffled once, to meet the ids that stay. Only rows that share a doc_id are told apart by
+    their sets and compared whole.
+    """
+    verdicts = common.materialize(_verdicts(docs).where("doc_id is not null").select("doc_id", "node", "kept"), "verdicts")
+    ids = common.materialize(verdicts.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.count(F.lit(1)).alias("n")).where("some"), "ids")
+    clear = docs.join(ids.where("n = 1"), "doc_id", "left_semi").select(*docs.columns)
 
     def compute(part: pa.RecordBatch) -> list:
         return [[_node(s) for s in shingle_sets(common.texts_of(part))]]
 
-    # texts that share a doc_id and not its verdict are told apart by their sets
-    shared = common.add_columns(docs.join(ids.where("not all"), "doc_id", "left_semi").select(*docs.columns), "_set long", compute, docs.columns)
+    shared = common.add_columns(docs.join(ids.where("n > 1"), "doc_id", "left_semi").select(*docs.columns), "_set long", compute, docs.columns)
     own = shared.join(verdicts.where("kept").select("doc_id", F.col("node").alias("_set")), ["doc_id", "_set"], "left_semi").select(*docs.columns)
-    return clear.unionByName(own).distinct().unionByName(docs.where("doc_id is null"))
+    return clear.unionByName(own.distinct()).unionByName(docs.where("doc_id is null"))
 
 
 def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -422,3 +433,22 @@ def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: near-duplicate components of all documents."""
     return near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+k AS (SELECT g, min(doc_id) AS rep FROM s WHERE len(g) > 0 GROUP BY g),
+x AS (SELECT rep, len(g) AS n, unnest(g) AS t FROM k),
+p AS (
+  SELECT a.rep AS a, b.rep AS b FROM x AS a JOIN x AS b ON a.t = b.t AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT rep AS node, rep AS c FROM k UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node),
+m AS (SELECT node, min(c) AS component FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(component, s.doc_id) AS component_id, s.doc_id = coalesce(component, s.doc_id) AS kept
+FROM s LEFT JOIN k ON k.g = s.g LEFT JOIN m ON m.node = k.rep
+"""

@@ -7,6 +7,7 @@ import numpy as np
 from cairn.llm import hyper_minhash as hm
 from cairn.llm import queries
 
+from ..conftest import oracle_rows, rows_of
 from .conftest import by_id
 
 
@@ -140,6 +141,8 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{k: 0 for k in range(n + 1)}, 1000: 1000, 1001: 1000}
 
 
-def test_query_matches_brute_force(spark, tiny):
+def test_query_matches_brute_force_and_oracle(spark, tiny, duck):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
-    assert got_of(queries.queries()["op8_hyper_minhash"](spark, tiny)) == brute(rows)
+    got = queries.queries()["op8_hyper_minhash"](spark, tiny)
+    assert got_of(got) == brute(rows)
+    assert rows_of(got) == oracle_rows(duck, hm.SQL)
