@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_tool_links": tool_links.SQL, "op4_host_rules": host_rules.SQL, "op3_wu_manber": wu_manber.SQL}
+    return {
+        "op1_tool_links": tool_links.SQL,
+        "op2_trigram_index": trigram_index.SQL,
+        "op3_wu_manber": wu_manber.SQL,
+        "op4_host_rules": host_rules.SQL,
+        "op8_hyper_minhash": hyper_minhash.SQL,
+    }

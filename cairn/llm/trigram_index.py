@@ -3,7 +3,8 @@
 Each rule's regex is turned into a Boolean query over trigrams that any match must contain. Every
 block of texts gets an inverted index, trigram -> texts, of the trigrams that some rule asks for;
 a rule's postings are intersected and united as its query says, and only the texts that remain are
-verified by the regex itself. A rule from which no mandatory trigram follows (such as a bare run of
+verified by the regex itself. No rule tries a place of a text more often than a constant, so a scan is
+linear in the text. A rule from which no mandatory trigram follows (such as a bare run of
 hex digits) scans every text. Index and texts stay in the task, so nothing is shuffled.
 
 Spans are code points of the whole text, end exclusive; matches of a rule are leftmost and don't
@@ -54,7 +55,7 @@ EXTRA = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
     Rule("url_password", r"://[A-Za-z0-9._~-]{1,64}:[A-Za-z0-9._~!$&*+=-]{3,64}@"),
 )
 RULES = BASE + EXTRA
@@ -207,3 +208,43 @@ def find_secrets(docs: DataFrame, keep: list[str] | None = None, extra: tuple[Ru
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: secrets in every document."""
     return find_secrets(common.table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long")))
+
+
+#: The rules in SQL's regexes: group 1 is what stands before a match, group 2 what has to have so many characters.
+_SQL_RULES = (
+    ("assign", r"""()(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 6),
+    ("access", "()(AKIA[A-Z0-9]+)", 20),
+    ("hex", "()([0-9a-f]+)", 24),
+    ("private_key", "()(-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----)", 0),
+    ("github", "()(gh[pousr]_[A-Za-z0-9]{36,})", 0),
+    ("slack", "()(xox[abprs]-[A-Za-z0-9-]{10,})", 0),
+    ("google", "()(AIza[A-Za-z0-9_-]{35})", 0),
+    ("jwt", r"(^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 0),
+    ("url_password", "()(://[A-Za-z0-9._~-]{1,64}:[A-Za-z0-9._~!$&*+=-]{3,64}@)", 0),
+)
+
+
+def _matches_sql(k: int, kind: str, pattern: str, least: int) -> str:
+    """The matches of a rule in each text, their groups, and what stands between them, from which places follow."""
+    return f"""
+  SELECT doc_id, {k} AS k, '{kind}' AS kind, {least} AS least, string_split_regex(t, '{pattern}') AS s, regexp_extract_all(t, '{pattern}') AS m,
+         regexp_extract_all(t, '{pattern}', 1) AS b, regexp_extract_all(t, '{pattern}', 2) AS v
+  FROM d WHERE regexp_matches(t, '{pattern}')"""
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL".join(_matches_sql(k, *rule) for k, rule in enumerate(_SQL_RULES))}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m),
+x AS (
+  SELECT doc_id, k, kind, len(b[i]) AS skip, len(m[i]) AS n,
+         list_sum(list_transform(s[1 : i], lambda z: len(z))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda z: len(z))), 0) AS a
+  FROM i WHERE len(v[i]) >= least),
+y AS (SELECT doc_id, k, CAST(a + skip AS BIGINT) AS a, kind || ':' || CAST(a + skip AS BIGINT) || ':' || CAST(a + n AS BIGINT) AS span FROM x),
+g AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg(span, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM y GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""

@@ -1,11 +1,13 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cairn.llm import queries, trigram_index as ti
 
+from ..conftest import oracle_rows, rows_of
 from .conftest import by_id
 
 #: The base rules as they are defined, without trigrams or shortcuts.
@@ -65,3 +67,32 @@ def test_query_covers_all_documents(spark, tiny):
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in base) for k, _, _ in BRUTE)
         assert set(base) <= set(r.spans.split(",")) or not base
+
+
+def test_query_matches_oracle(spark, tiny, duck):
+    name = "op2_trigram_index"
+    assert rows_of(queries.queries()[name](spark, tiny)) == oracle_rows(duck, queries.oracle_sql()[name])
+
+
+def test_sql_finds_the_spans_of_all_kinds():
+    import duckdb
+
+    parts = [
+        "é token=abcdef1 token='x' PassWord: \"zz12345\"", "API_KEY=token=secret=abc", "AKIA" + "Z" * 16, "deadbeef" * 4, "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 20, "xoxb-0123456789-ab",
+        "AIza" + "q" * 35, "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12, "xeyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12, "https://user:pass.word@host", "日本 tſken=abcdefgh to\u212aen=abcdefgh",
+    ]
+    texts = [*parts, " ".join(parts), "\n".join(parts * 3), "".join(parts), ""]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [*enumerate(texts), (99, None)])
+    got = {d: spans for d, spans in con.sql(f"SELECT doc_id, spans FROM ({ti.SQL})").fetchall()}
+    want = {k: ",".join(f"{ti.RULES[r].kind}:{a}:{b}" for a, r, b in spans) for k, spans in enumerate(ti.scan(texts))}
+    assert got == want | {99: ""} and len({s.partition(":")[0] for w in want.values() for s in w.split(",") if s}) == len(ti.RULES)
+
+
+def test_hard_inputs_take_linear_time():
+    hard = ["eyJ" * 300_000 + ".eyJ", "eyJaaaaaaaaaaaa." * 60_000, ".eyJ" * 300_000, "token " * 200_000 + "=", "password" + " " * 1_000_000, "-----BEGIN " * 90_000, "AKIA" * 250_000, "a" * 1_000_000, "://a" * 250_000, "ghp_" * 250_000, "xoxb-" * 200_000 + "@"]
+    begun = time.perf_counter()
+    for text in hard:
+        ti.scan([text])
+    assert time.perf_counter() - begun < 30
