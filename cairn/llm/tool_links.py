@@ -7,7 +7,7 @@ Input are messages (conv_id, turn, role, text). A message may carry blocks
 
 and a transcript without blocks is read as exchanges: a `user` turn is a call of ``reply`` whose
 identifier is its turn and whose arguments are its text, and the `assistant` turn right after it is that
-call's result. Exchanges and blocks are name spaces of their own: an identifier means the one only among
+call's result, whatever blocks it holds. Exchanges and blocks are name spaces of their own: an identifier means the one only among
 exchanges, the other only among blocks. Calls and results are hash-joined by (conv_id, space, identifier). Arguments are checked against
 a table of schemas. Calls are put in topological order: a call comes after the message that makes it,
 after the calls it depends on, and before its result.
@@ -30,12 +30,16 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 KEY = ["conv_id", "space", "call_id"]
+#: More levels than any chain has; edges in a cycle, which have no end, are counted up to here.
+MOST_LEVELS = 1 << 40
 #: The schema of exchanges: (tool, argument, JSON type, required).
 REPLY_SCHEMA = (("reply", "role", "string", True), ("reply", "text", "string", True), ("reply", "turn", "integer", True))
 
@@ -115,25 +119,42 @@ def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 def order_keys(calls: DataFrame) -> DataFrame:
     """(conv_id, space, call_id, order_turn, order_level) of all calls that are neither in nor behind a cycle.
 
-    Rounds take the calls all of whose dependencies have keys; there are as many as the longest chain
-    of dependencies has links, and none without dependencies. An unknown dependency asks for nothing.
+    A call's key is the greatest of (own turn, 0) and of its dependencies' keys, each with one level more.
+    Each round settles the calls that wait for none, takes their keys over to those that wait for them, and
+    lets every edge to a call that waits for one other lead on to that one, with the levels between them
+    added: so chains halve in a round, and only nested forks need a round each. Edges never grow in number,
+    settled calls leave, and a round that settles none ends it, as what is left waits for a cycle.
+    Without dependencies there is no round. An unknown dependency asks for nothing.
     """
     free = calls.select(*KEY, F.col("call_turn").alias("order_turn"), F.lit(0).cast("long").alias("order_level"))
-    pairs = calls.select(*KEY, "call_turn", F.explode(F.array_distinct("depends_on")).alias("dep"))
+    pairs = calls.select(*KEY, F.explode(F.array_distinct("depends_on")).alias("dep"))
     if pairs.isEmpty():
         return free
+    to = ["conv_id", "space", "dep"]
     names = calls.select("conv_id", "space", F.col("call_id").alias("dep"))
-    edges = common.materialize(pairs.join(names, ["conv_id", "space", "dep"], "left_semi"), "edges")
-    done = common.materialize(free.join(edges, KEY, "left_anti"), "ordered")
-    while True:
-        at = done.select("conv_id", "space", F.col("call_id").alias("dep"), F.struct("order_turn", (F.col("order_level") + 1).alias("order_level")).alias("_d"))
-        todo = edges.join(done, KEY, "left_anti").join(at, ["conv_id", "space", "dep"], "left")
-        ready = todo.groupBy(*KEY).agg(F.max("_d").alias("_d"), F.bool_and(F.col("_d").isNotNull()).alias("_all"), F.max("call_turn").alias("_t")).where("_all")
-        best = F.greatest(F.col("_d"), F.struct(F.col("_t").alias("order_turn"), F.lit(0).cast("long").alias("order_level")))
-        more = common.materialize(ready.select(*KEY, best.alias("_b")).select(*KEY, "_b.*"), "ordered")
-        if more.isEmpty():
-            return done
-        done = done.unionByName(more)
+    edges = common.materialize(pairs.join(names, to, "left_semi").withColumn("levels", F.lit(1).cast("long")), "edges")
+    #: (key, least key so far) of the calls that wait
+    waiting = common.materialize(free.join(edges, KEY, "left_semi").select(*KEY, F.struct("order_turn", "order_level").alias("best")), "waiting")
+    settled = [common.materialize(free.join(edges, KEY, "left_anti"), "ordered")]
+    while not settled[-1].isEmpty():
+        known = settled[-1].select("conv_id", "space", F.col("call_id").alias("dep"), "order_turn", "order_level")
+        rest = common.materialize(edges.join(known, to, "left_anti"), "edges")
+        taken = edges.join(known, to).select(*KEY, F.struct("order_turn", (F.col("order_level") + F.col("levels")).alias("order_level")).alias("best"))
+        # a call that waits for one other, where edges to it lead instead, and what it adds itself on the way
+        single = rest.groupBy(*KEY).agg(F.min("dep").alias("_next"), F.min("levels").alias("_more"), F.count(F.lit(1)).alias("_n")).where("_n = 1 and call_id <> _next")
+        raised = common.materialize(waiting.unionByName(taken).groupBy(*KEY).agg(F.max("best").alias("best")), "waiting")
+        one = common.materialize(single.join(raised, KEY).select("conv_id", "space", F.col("call_id").alias("dep"), "_next", "_more", F.col("best").alias("_best")), "single")
+        led = common.materialize(rest.join(one, to, "left"), "edges")
+        shorter = led.select(*KEY, F.coalesce("_next", "dep").alias("dep"), F.least(F.col("levels") + F.coalesce("_more", F.lit(0)), F.lit(MOST_LEVELS)).alias("levels"))
+        on_way = led.where("_next is not null").select(*KEY, F.struct(F.col("_best.order_turn").alias("order_turn"), (F.col("_best.order_level") + F.col("levels")).alias("order_level")).alias("best"))
+        fewer = common.materialize(shorter.groupBy(*KEY, "dep").agg(F.max("levels").alias("levels")), "edges")
+        ready = raised.join(rest, KEY, "left_anti")
+        settled.append(common.materialize(ready.select(*KEY, "best.order_turn", "best.order_level"), "ordered"))
+        left = common.materialize(raised.join(rest, KEY, "left_semi").unionByName(on_way).groupBy(*KEY).agg(F.max("best").alias("best")), "waiting")
+        common.discard(edges, waiting, rest, raised, one, led)
+        edges, waiting = fewer, left
+    common.discard(edges, waiting)
+    return functools.reduce(DataFrame.unionByName, settled)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:

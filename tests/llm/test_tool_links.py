@@ -1,4 +1,5 @@
 import json
+import random
 
 from cairn.llm import queries, tool_links
 
@@ -87,3 +88,42 @@ def test_empty_table_and_long_text(table):
 def test_no_python_in_the_plan(spark, tiny):
     text = queries.queries()["op1_tool_links"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in text for x in ("Python", "Pandas", "InArrow", "ExistingRDD"))
+
+
+def by_rounds(calls):
+    """The keys of calls {id: (turn, deps)} by their definition; calls in or behind a cycle have none."""
+    keys = {}
+    while True:
+        ready = {i: (t, [d for d in deps if d in calls]) for i, (t, deps) in calls.items() if i not in keys}
+        ready = {i: max([(t, 0), *((keys[d][0], keys[d][1] + 1) for d in deps)]) for i, (t, deps) in ready.items() if all(d in keys for d in deps)}
+        if not ready:
+            return keys
+        keys |= ready
+
+
+def test_order_keys_match_their_definition(spark):
+    """Chains, forks, ladders, cycles and what hangs on them, in several conversations with the same identifiers."""
+    rng, convs = random.Random(2), {}
+    for conv in range(6):
+        calls = {f"c{k}": (rng.randrange(20), [f"c{k - 1}"] if k else []) for k in range(40)}
+        calls |= {f"d{k}": (rng.randrange(20), rng.sample([f"d{j}" for j in range(k)], min(k, rng.randrange(4))) + ["gone"] * (k % 3 == 0)) for k in range(40)}
+        for k in range(1, 8):
+            calls |= {f"l{k}": (k, [f"l{k - 1}", f"r{k - 1}"] if k > 1 else []), f"r{k}": (9 - k, [f"l{k - 1}", f"r{k - 1}"] if k > 1 else ["c39"])}
+        calls |= {f"m{k}": (k, [f"m{k - 1}", f"n{k - 1}"] if k else []) for k in range(4)} | {f"n{k}": (k, ["m0"]) for k in range(4)}
+        calls |= {f"z{k}": (k, [f"z{(k + 1) % 3}"]) for k in range(3)} | {"y": (1, ["z0"]), "x": (1, ["y", "c3"]), "self": (2, ["self", "c1"])}
+        convs[conv] = calls
+    rows = [(conv, "block", i, t, deps) for conv, calls in convs.items() for i, (t, deps) in calls.items()]
+    df = spark.createDataFrame(rows, "conv_id long, space string, call_id string, call_turn long, depends_on array<string>")
+    got = {(r.conv_id, r.call_id): (r.order_turn, r.order_level) for r in tool_links.order_keys(df).collect()}
+    assert got == {(conv, i): key for conv, calls in convs.items() for i, key in by_rounds(calls).items()}
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    made = []
+    real = tool_links.common.materialize
+    monkeypatch.setattr(tool_links.common, "materialize", lambda df, label: made.append(label) or real(df, label))
+    n = 300
+    df = spark.createDataFrame([(1, "block", f"c{k}", k % 7, [f"c{k + 1}"] if k < n else []) for k in range(n + 1)], "conv_id long, space string, call_id string, call_turn long, depends_on array<string>")
+    got = {int(r.call_id[1:]): (r.order_turn, r.order_level) for r in tool_links.order_keys(df).collect()}
+    assert {f"c{k}": v for k, v in got.items()} == by_rounds({f"c{k}": (k % 7, [f"c{k + 1}"] if k < n else []) for k in range(n + 1)})
+    assert made.count("ordered") <= 11
