@@ -8,8 +8,10 @@ occurrence of that block in some window's first m bytes to byte m. Only where th
 end at byte m; the suffix hash there picks the bucket of windows that are compared directly.
 
 The search advances one place in each of many stretches of text together, each by its own shift.
-Every block of benchmark windows is a step over the same rows, so the documents are never shuffled
-and a table in memory has a stated size, whatever the benchmark's.
+Every block of benchmark items is a step over the same rows, so the documents are never shuffled. A
+block's text is all that the driver holds and sends; each worker makes the block's tables from it. After
+``STEPS`` blocks the rows are written and read again, so no task ever holds more tables than that, and
+memory has a stated bound whatever the benchmark's size: what grows with it is time.
 
 Defined cases: null and empty texts have no words and no hits; an item without words has no window,
 one of fewer words than a window is one window; a null item_id is no item; repeated items count once;
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,8 +36,10 @@ from . import common, hashing
 WINDOW = 8
 #: Items hit from which a document counts as contaminated.
 MIN_ITEMS = 2
-#: Bytes of benchmark text whose windows make one search table (about 60 times as much memory).
-TABLE_BYTES = 2 << 20
+#: Bytes of benchmark text whose windows are searched for in one step (about twelve times as much memory in a worker).
+TABLE_BYTES = 4 << 20
+#: Steps, each with a worker of its own, that a task goes through before its rows are written.
+STEPS = 4
 #: Bytes of text that one lane of the search covers.
 LANE = 2048
 #: A shift table has this many entries.
@@ -60,23 +65,22 @@ def fold(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Table:
-    """Shift table and suffix buckets of a set of patterns."""
+    """Shift table and suffix buckets of a set of patterns, which are stretches of one buffer."""
 
-    def __init__(self, patterns: list[bytes]):
-        self.patterns = patterns
-        self.m = min(map(len, patterns))
+    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbers: np.ndarray):
+        self.starts, self.sizes, self.numbers = starts, sizes, numbers
+        self.m = int(sizes.min())
         self.b = max(1, min(8, self.m // 2))
         bits = min(SHIFT_BITS, 8 * self.b)
         self.bits = np.uint64(64 - bits)
         width = self.m - self.b + 1
-        head = np.frombuffer(b"".join(p[: self.m] for p in patterns), np.uint8).reshape(len(patterns), self.m)
         self.shift = np.full(1 << bits, width, np.int32)
         keys = None
         for at in range(width):
-            keys = self.key(head[:, at : at + self.b])
+            keys = self.key(data[(starts + at)[:, None] + np.arange(self.b)])
             np.minimum.at(self.shift, self._slot(keys), width - 1 - at)
-        order = np.argsort(keys, kind="stable")
-        self.suffix, self.which = keys[order], order
+        self.which = np.argsort(keys, kind="stable").astype(np.int32)
+        self.suffix = keys[self.which]
 
     def key(self, block: np.ndarray) -> np.ndarray:
         out = np.zeros(len(block), np.uint64)
@@ -87,9 +91,9 @@ class Table:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64)
 
-    def search(self, data: np.ndarray) -> list[tuple[int, int]]:
-        """Every (start, pattern) at which a pattern occurs in the buffer."""
-        n, raw, found = len(data), data.tobytes(), []
+    def search(self, data: np.ndarray, raw: bytes, source: bytes) -> list[tuple[int, int]]:
+        """Every (start, number of the pattern) at which a pattern of ``source`` occurs in the buffer ``data``."""
+        n, found = len(data), []
         ends = np.arange(self.m - 1, n, LANE, dtype=np.int64)
         stops = np.minimum(ends + LANE, n)
         padded = np.concatenate([data, np.zeros(1, np.uint8)])
@@ -104,8 +108,9 @@ class Table:
                 for k in np.flatnonzero(hi > lo).tolist():
                     start = int(ends[hit[k]]) - self.m + 1
                     for p in self.which[lo[k] : hi[k]].tolist():
-                        if raw.startswith(self.patterns[p], start):
-                            found.append((start, p))
+                        at, size = int(self.starts[p]), int(self.sizes[p])
+                        if raw[start : start + size] == source[at : at + size]:
+                            found.append((start, int(self.numbers[p])))
             ends = ends + np.maximum(step, 1)
             on = ends < stops
             if not on.all():
@@ -114,23 +119,47 @@ class Table:
 
 
 class Windows:
-    """The windows of a block of benchmark items, in tables by length so that short ones don't slow the others."""
+    """The windows of a block of benchmark items, in tables by length so that short ones don't slow the others.
+
+    Windows are stretches of the items' normal form. Equal ones are found by hash, confirmed by their
+    bytes, and kept once, with the items that hold them.
+    """
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
-        owners: dict[bytes, set[int]] = defaultdict(set)
-        for item, text in items:
-            words = (text or "").encode().translate(_FOLD).split()
-            for k in range(max(1, len(words) - window + 1) if words else 0):
-                owners[b" " + b" ".join(words[k : k + window]) + b" "].add(item)
-        by_size: dict[int, list[bytes]] = defaultdict(list)
-        for p in sorted(owners):
-            by_size[len(p).bit_length() if len(p) < 32 else 32].append(p)
-        self.owners = owners
-        self.tables = [Table(ps) for ps in by_size.values()]
-
-    def find(self, data: np.ndarray, place: np.ndarray) -> dict[int, list[tuple[int, int, set[int]]]]:
+        self.items = [i for i, _ in items]
+        data, place = fold([t or "" for _, t in items])
+        self.source = data.tobytes()
+        letter = (data != 32) & (data != 10)
+        begins, ends = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1, np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
+        first = np.searchsorted(begins, place)
+        count = np.diff(np.append(first, len(begins)))
+        n = np.where(count > 0, np.maximum(count - window + 1, 1), 0)
+        item = np.repeat(np.arange(len(items), dtype=np.int32), n)
+        word = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(item))
+        starts = begins[word] - 1
+        stops = ends[word + np.minimum(count, window)[item] - 1] + 1
+        h = hashing.word_hashes(data, starts, stops)
+        order = np.argsort(h, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = h[order][1:] != h[order][:-1]
+        for k in np.flatnonzero(~new).tolist():
+            a, b = order[k - 1], order[k]
+            new[k] = self.source[starts[a] : stops[a]] != self.source[starts[b] : stops[b]]
+        self.owner, self.owned = item[order], np.append(np.flatnonzero(new), len(order))
+        own = order[new]
+        starts, sizes = starts[own], (stops - starts)[own]
+        self.words = np.minimum(count, window)[item[own]]
+        kind = np.minimum(np.frexp(sizes)[1], 6)  # bits of the size, all from 32 on together
+        self.tables = [Table(data, starts[kind == k], sizes[kind == k], np.flatnonzero(kind == k)) for k in np.unique(kind)]
+
+    def owners(self, p: int) -> set:
+        """The items that hold a window."""
+        return {self.items[i] for i in self.owner[self.owned[p] : self.owned[p + 1]].tolist()}
+
+    def find(self, data: np.ndarray, place: np.ndarray) -> dict[int, list[tuple[int, int, set]]]:
         """By text: the (first word, word after the last, items) of each occurrence."""
-        found = [(s, t.patterns[p]) for t in self.tables for s, p in t.search(data)]
+        raw = data.tobytes()
+        found = [hit for t in self.tables for hit in t.search(data, raw, self.source)]
         if not found:
             return {}
         begins = np.flatnonzero((data[1:] != 32) & (data[1:] != 10) & (data[:-1] == 32)) + 1
@@ -139,10 +168,21 @@ class Windows:
         first = np.searchsorted(begins, starts) - np.searchsorted(begins, place[text])
         out: dict[int, list] = defaultdict(list)
         for t, w, (_, p) in zip(text.tolist(), first.tolist(), found, strict=True):
-            out[t].append((w, w + p.count(b" ") - 1, self.owners[p]))
+            out[t].append((w, w + int(self.words[p]), self.owners(p)))
         return out
 
 
+#: The windows that this worker has made of the block it was sent last, by the block's name.
+_MADE: dict[str, Windows] = {}
+
+
+def _windows_of(name: str, sent, window: int) -> Windows:
+    if name not in _MADE:
+        _MADE.clear()
+        _MADE[name] = Windows(sent.value, window)
+    return _MADE[name]
+
+
 def item_blocks(benchmark: DataFrame, limit: int = TABLE_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about ``limit`` bytes of text, which reach the driver one by one (at least one block)."""
     out: list[tuple[int, str]] = []
@@ -160,7 +200,7 @@ def item_blocks(benchmark: DataFrame, limit: int = TABLE_BYTES) -> Iterator[list
 _VERDICT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_ranges array<long>"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, min_items: int = MIN_ITEMS, table_bytes: int = TABLE_BYTES, cut: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, min_items: int = MIN_ITEMS, table_bytes: int = TABLE_BYTES, cut: bool = False, steps: int = STEPS) -> DataFrame:
     """Per document its words, the words hit, the items hit, whether it is contaminated, and the hit ranges.
 
     ``hit_ranges`` lists [first, end) of maximal runs of hit words. ``keep`` are columns of ``docs`` to keep.
@@ -168,16 +208,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     """
     sc = docs.sparkSession.sparkContext
     keep = keep or ["doc_id"]
-    out = common.pick(docs, *dict.fromkeys([*keep, "text"]))
-    tables = [sc.broadcast(Windows(block, window)) for block in item_blocks(benchmark, table_bytes)]
-    for k, sent in enumerate(tables):
-        last = k == len(tables) - 1
-        out = common.add_columns(
-            out,
-            (_VERDICT + ", text string, n_chars long" * cut) if last else "_ranges array<long>, _items array<long>",
-            _scan(sent, k > 0, last, min_items, cut),
-            keep if last else list(dict.fromkeys([*keep, "text"])),
-        )
+    carried = list(dict.fromkeys([*keep, "text"]))
+    out, written, sent = common.pick(docs, *carried), [], []
+    blocks = item_blocks(benchmark, table_bytes)
+    block, k = next(blocks), 0
+    while block is not None:
+        after = next(blocks, None)
+        sent.append(sc.broadcast(block))
+        last = after is None
+        added = (_VERDICT + ", text string, n_chars long" * cut) if last else "_ranges array<long>, _items array<long>"
+        out = common.add_columns(out, added, _scan(uuid.uuid4().hex, sent[-1], window, k > 0, last, min_items, cut), keep if last else carried)
+        if not last and len(sent) == steps:
+            out = common.materialize(out, "scanned")
+            written.append(out)
+            common.discard(*written[:-1])
+            written = written[-1:]
+            for b in sent:
+                b.destroy()
+            sent = []
+        block, k = after, k + 1
     return out
 
 
@@ -207,10 +256,10 @@ def _cut(part: pa.RecordBatch, ranges: list[list[int]]) -> list:
     return [texts, [len(t) if r else n for t, r, n in zip(texts, ranges, part.column("n_chars").to_pylist(), strict=True)]]
 
 
-def _scan(sent, carried: bool, last: bool, min_items: int, cut: bool):
+def _scan(name: str, sent, window: int, carried: bool, last: bool, min_items: int, cut: bool):
     def compute(part: pa.RecordBatch) -> list:
         data, place = fold(common.texts_of(part))
-        found = sent.value.find(data, place)
+        found = _windows_of(name, sent, window).find(data, place)
         n = part.num_rows
         before = (part.column("_ranges").to_pylist(), part.column("_items").to_pylist()) if carried else ([[]] * n, [[]] * n)
         ranges, items = [], []

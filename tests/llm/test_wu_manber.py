@@ -59,8 +59,8 @@ def test_blocks_nulls_ties_and_clashing_columns(docs, table):
     filler = "noise, " * 50_000
     rows = [(1, filler + long.upper() + "! end"), (2, "tiny-ITEM"), (3, None), (4, ""), (None, "v0 v1 v2 v3 v4 v5 v6 v7 tiny item"), (5, "clean text"), (5, "clean text"), (6, "xtiny item, tiny itemx")]
     real = [(i, t) for i, t in items if i is not None]
-    for limit in (1, 1 << 20):
-        got = by_id(wm.decontaminate(docs(rows), benchmark, table_bytes=limit))
+    for limit, steps in ((1, 2), (1, 100), (1 << 20, 4)):
+        got = by_id(wm.decontaminate(docs(rows), benchmark, table_bytes=limit, steps=steps))
         want = sorted([(d, *brute(t, real)) for d, t, *_ in rows], key=lambda r: (r[0] is None, r[0] or 0, str(r)))
         assert [tuple(r)[:6] for r in got] == want
     assert wm.decontaminate(docs([]), benchmark).count() == 0
@@ -73,3 +73,16 @@ def test_removal_cuts_single_leaks_and_drops_contaminated(docs, table):
     rows = [(1, f"Before {one} after."), (2, f"{one} {two}"), (3, "clean"), (4, None)]
     got = {r.doc_id: (r.text, r.n_chars) for r in wm.remove_leaks(docs(rows), benchmark).collect()}
     assert got == {1: ("Before  after.", 14), 3: ("clean", None), 4: (None, None)}
+
+
+def test_windows_keep_little_beside_their_text():
+    """Shared and repeated windows are kept once, with all their items; a block takes about a dozen times its text."""
+    shared = " ".join(f"s{k}" for k in range(12))
+    items = [(k, f"a{k} {shared} b{k} " + " ".join(f"w{k}x{j}" for j in range(150))) for k in range(1000)] + [(7, shared)]
+    made = wm.Windows(items)
+    assert made.owners(next(p for p in range(len(made.owned) - 1) if len(made.owners(p)) > 1)) == set(range(1000))
+    size = sum(a.nbytes for t in made.tables for a in (t.starts, t.sizes, t.numbers, t.which, t.suffix, t.shift)) + made.owner.nbytes + made.owned.nbytes + made.words.nbytes + len(made.source)
+    assert size - sum(t.shift.nbytes for t in made.tables) < 12 * sum(len(t) for _, t in items)
+    data, place = wm.fold([f"x {shared} y", "none of it"])
+    found = made.find(data, place)
+    assert set(found) == {0} and {(a, b) for a, b, _ in found[0]} == {(k, k + 8) for k in range(1, 6)}
