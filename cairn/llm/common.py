@@ -121,13 +121,23 @@ def pick(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
-def slot_sample(docs: DataFrame, slots: int, id_col: str = "doc_id", by: list[str] | None = None) -> DataFrame:
+#: Values of a grouping column that a sample is taken of, at most.
+GROUPS = 200
+
+
+def slot_sample(docs: DataFrame, slots: int, id_col: str = "doc_id", by: list[str] | None = None, groups: int = GROUPS) -> DataFrame:
     """At most ``slots`` rows of ``docs`` for each value of ``by`` (overall if none), chosen by hash.
 
     Each id falls in a slot by its hash, and each slot keeps its smallest hash. The choice is made by
-    a partial aggregate over longs, so a hot value of ``by`` costs no more than a rare one.
+    a partial aggregate over longs, so a hot value of ``by`` costs no more than a rare one. Of more than
+    ``groups`` values those with the most slots are sampled, so at most ``slots * groups`` hashes are broadcast.
     """
     by = by or []
     key = F.xxhash64(F.col(id_col), F.lit(7))
-    chosen = docs.select(*by, key.alias("_k")).groupBy(*by, F.pmod("_k", F.lit(slots)).alias("_s")).agg(F.min("_k").alias("_k")).select("_k").distinct()
-    return docs.withColumn("_k", key).join(F.broadcast(chosen), "_k", "left_semi").dropDuplicates([*by, "_k"]).drop("_k")
+    chosen = docs.select(*by, key.alias("_k")).groupBy(*by, F.pmod("_k", F.lit(slots)).alias("_s")).agg(F.min("_k").alias("_k"))
+    if by:
+        chosen = materialize(chosen, "slots")
+        largest = chosen.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), *by).limit(groups)
+        chosen = chosen.join(F.broadcast(largest), by, "left_semi")
+    chosen = chosen.select(*by, "_k").distinct()
+    return docs.withColumn("_k", key).join(F.broadcast(chosen), [*by, "_k"], "left_semi").dropDuplicates([*by, "_k"]).drop("_k")

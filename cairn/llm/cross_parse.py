@@ -11,7 +11,10 @@ through all automata together, one character at a time, in numpy. Training rows
 crc32(doc_id as text) mod 4 other than 2 and a language; each language's sample takes at most ``SLOTS``
 documents chosen by hash and ``SAMPLE_CHARS`` characters in all. Where there are more characters, each
 document gives as many as the others, or all it has: an excerpt from a place chosen by hash, so that the
-openings that documents share don't fill the sample.
+openings that documents share don't fill the sample. The samples of all languages have ``ALL_CHARS`` characters
+at most, shared evenly, and of more than ``common.GROUPS`` languages those with the most documents in the
+sample are learned; so the model has a bounded size (some 30 bytes a sample character) whatever the number
+of languages or the size of their alphabets.
 
 Normalised: lower case, and every run of characters that aren't letters is one space.
 
@@ -34,6 +37,7 @@ from . import common
 
 SLOTS = 256
 SAMPLE_CHARS = 60_000
+ALL_CHARS = 2_000_000
 SEGMENT = 1024
 UNKNOWN = "und"
 
@@ -58,8 +62,23 @@ def letters_of(text: str) -> np.ndarray:
     return codes[keep]
 
 
-def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
-    """Transitions (state, class) -> state, -1 where there is none, of the suffix automaton of a text; 0 starts."""
+class Automaton:
+    """The transitions of an automaton: (state, class) -> state, -1 where there is none; 0 starts."""
+
+    def __init__(self, following: list[dict[int, int]]):
+        self.states = len(following)
+        degree = np.fromiter(map(len, following), np.int64, self.states)
+        self.state = np.repeat(np.arange(self.states), degree)
+        self.letter = np.fromiter((c for f in following for c in f), np.int64, len(self.state))
+        self.to = np.fromiter((t for f in following for t in f.values()), np.int64, len(self.state))
+
+    def __getitem__(self, at: tuple[int, int]) -> int:
+        found = np.flatnonzero((self.state == at[0]) & (self.letter == at[1]))
+        return int(self.to[found[0]]) if len(found) else -1
+
+
+def suffix_automaton(codes: np.ndarray, width: int) -> Automaton:
+    """The suffix automaton of a text of classes below ``width``."""
     following: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes.tolist():
@@ -85,35 +104,84 @@ def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    out = np.full((len(length), width), -1, np.int32)
-    for s, f in enumerate(following):
-        if f:
-            out[s, list(f)] = list(f.values())
-    return out
+    return Automaton(following)
+
+
+_LOW = np.int64((1 << 32) - 1)
+
+
+def double_array(state: np.ndarray, letter: np.ndarray, to: np.ndarray, states: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The transitions of ``states`` states in one array of cells, and the base of each state.
+
+    A state is known by its base, which no other has. Cell base + class holds the base in its upper 32 bits
+    and the base of the next state in the lower ones if there is such a transition; the cell is another
+    state's, or -1, if there is none. Bases are tried at random, states of high degree first.
+    """
+    rng, cells = np.random.default_rng(3), int(1.4 * max(len(state), states)) + width
+    free, unused = np.ones(cells + width, bool), np.ones(cells, bool)
+    base = np.full(states, -1, np.int64)
+    order = np.argsort(state, kind="stable")
+    degree = np.bincount(state, minlength=states)
+    first = np.cumsum(degree) - degree
+    for d in np.unique(degree)[::-1].tolist():
+        todo = np.flatnonzero(degree == d)
+        own = letter[order[first[todo][:, None] + np.arange(d)]]
+        while len(todo):
+            at = rng.integers(0, cells, len(todo))
+            fits = unused[at] & free[at[:, None] + own].all(1)
+            fits[np.flatnonzero(fits)[~_alone(at[fits], own[fits])]] = False
+            base[todo[fits]] = at[fits]
+            unused[at[fits]] = False
+            free[(at[fits, None] + own[fits]).ravel()] = False
+            if 20 * int(fits.sum()) < len(todo):
+                cells += cells // 4
+                free, unused = (np.concatenate([x, np.ones(cells + more - len(x), bool)]) for x, more in ((free, width), (unused, 0)))
+            todo, own = todo[~fits], own[~fits]
+    out = np.full(cells + width, -1, np.int64)
+    out[base[state] + letter] = (base[state] << np.int64(32)) | base[to]
+    return out, base
+
+
+def _alone(at: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which of several bases meet no earlier one of them, nor a cell of it."""
+    ok = np.zeros(len(at), bool)
+    ok[np.unique(at, return_index=True)[1]] = True
+    if own.shape[1]:
+        slots = (at[:, None] + own).ravel()
+        won = np.zeros(len(slots), bool)
+        won[np.unique(slots, return_index=True)[1]] = True
+        ok &= won.reshape(own.shape).all(1)
+    return ok
 
 
 class Languages:
-    """The automata of all learned languages over one table of transitions."""
+    """The automata of all learned languages over one array of transitions."""
 
     def __init__(self, samples: dict[str, list[str]], most_chars: int = SAMPLE_CHARS):
         self.names = sorted(samples)
         texts = [np.concatenate([np.append(letters_of(t), 32) for t in samples[n]])[:most_chars] for n in self.names]
         seen = np.unique(np.concatenate(texts)) if texts else np.empty(0, np.int32)
         self.alphabet = seen
-        self.width = len(seen) + 1
-        tables = [suffix_automaton(np.searchsorted(seen, t) + 1, self.width) for t in texts]
-        self.base = np.cumsum([0, *map(len, tables)])[:-1]
-        #: The state after an unseen character, which goes nowhere.
-        self.dead = sum(map(len, tables)) * self.width
-        #: Row offset of the next state, so that a step is one addition and one look-up.
-        self.next = np.full((sum(map(len, tables)) + 1, self.width), -1, np.int32 if self.dead < 1 << 30 else np.int64)
-        for t, b in zip(tables, self.base.tolist(), strict=True):
-            np.add(t, b, out=self.next[b : b + len(t)], where=t >= 0, casting="unsafe")
-        np.multiply(self.next, self.width, out=self.next, where=self.next >= 0, casting="unsafe")
-        self.next = self.next.ravel()
+        width = len(seen) + 1
+        state, letter, to, roots, states = [], [], [], [], 1  # state 0 is the dead one, which goes nowhere
+        for t in texts:
+            own = suffix_automaton(np.searchsorted(seen, t) + 1, width)
+            state.append(own.state + states)
+            letter.append(own.letter)
+            to.append(own.to + states)
+            roots.append(states)
+            states += own.states
+        none = [np.empty(0, np.int64)]
+        self.cells, base = double_array(*(np.concatenate(x or none) for x in (state, letter, to)), states, width)
+        #: The state after the first character of a phrase, by language and class; an unseen one is a phrase of its own.
+        self.first = np.full((len(texts), width), base[0], np.int64)
+        for row, root in enumerate(roots):
+            at = base[root] + np.arange(width)
+            own = self.cells[at] >> np.int64(32) == base[root]
+            self.first[row, own] = self.cells[at[own]] & _LOW
         self.cost = np.log2([max(len(t), 2) for t in texts])
-        self.classes = np.zeros(0x110000, np.uint16)
-        self.classes[seen] = np.arange(1, self.width)
+        self.classes = np.zeros(0x110000, np.uint16 if width < 1 << 16 else np.uint32)
+        self.classes[seen] = np.arange(1, width)
 
     def phrases(self, segments: list[np.ndarray]) -> np.ndarray:
         """Phrases of each segment of normalised code points in each language."""
@@ -124,25 +192,21 @@ class Languages:
         if not len(order) or not self.names:
             return out
         steps = int(size[order[0]])
-        grid = np.zeros((len(order), steps), np.uint16)
+        grid = np.zeros((len(order), steps), self.classes.dtype)
         for row, k in enumerate(order.tolist()):
             grid[row, : size[k]] = self.classes[segments[k]]
-        grid = np.ascontiguousarray(grid.T).astype(np.int32)
+        grid = np.ascontiguousarray(grid.T).astype(np.int64)
         active = np.searchsorted(-size[order], -np.arange(steps), "left")
-        start = (self.base * self.width).astype(self.next.dtype)[:, None]
-        state = np.repeat(start, len(order), 1)
+        state = self.first[:, grid[0]]
         count = np.ones((len(self.names), len(order)), np.int32)
-        for t in range(steps):
+        for t in range(1, steps):
             n = int(active[t])
-            c = grid[t, :n]
-            step = self.next[state[:, :n] + c]
-            stuck = step < 0
-            if t:
-                count[:, :n] += stuck
-            # a phrase starts afresh with this character; an unseen one is a phrase of its own
-            again = self.next[start + c]
-            again[again < 0] = self.dead
-            state[:, :n] = np.where(stuck, again, step)
+            c, old = grid[t, :n], state[:, :n]
+            cell = self.cells[old + c]
+            on = cell >> np.int64(32) == old
+            count[:, :n] += ~on
+            # where a phrase ends, another starts with this character
+            state[:, :n] = np.where(on, cell & _LOW, self.first[:, c])
         out[:, order] = count
         return out
 
@@ -177,7 +241,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, slots: int = SLOTS, most_chars: int = SAMPLE_CHARS) -> Languages:
+def learn(docs: DataFrame, slots: int = SLOTS, most_chars: int = SAMPLE_CHARS, all_chars: int = ALL_CHARS) -> Languages:
     """Automata from the bounded sample of each language's training rows."""
     rows = common.pick(docs, "doc_id", "text", "lang").where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     samples: dict[str, list[str]] = {}
@@ -186,6 +250,7 @@ def learn(docs: DataFrame, slots: int = SLOTS, most_chars: int = SAMPLE_CHARS) -
     lengths: dict[str, list[int]] = {}
     for lang, n in whole.select("lang", "n").toLocalIterator():
         lengths.setdefault(lang, []).append(n)
+    most_chars = min(most_chars, all_chars // max(len(lengths), 1))
     share = F.create_map(*[F.lit(x) for lang, ns in lengths.items() for x in (lang, even_share(ns, most_chars))]) if lengths else F.create_map().cast("map<string,int>")
     picked = whole.withColumn("share", share[F.col("lang")] - 1)
     at = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.greatest(F.col("n") - F.col("share"), F.lit(1))).cast("int") + 1
