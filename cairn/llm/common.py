@@ -28,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where that is unset (tests), a local one."""
+    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset and the session is local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cairn-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -102,6 +104,7 @@ def add_columns(
                 arrays += [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, type=schema.field(f.name).type) for v, f in zip(values, new.fields, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, out)
 
 
@@ -111,13 +114,26 @@ def texts_of(batch: pa.RecordBatch, col: str = "text") -> list[str]:
 
 
 #: Rows and bytes of an Arrow batch, at most, so that long texts don't make it outgrow a worker.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches to ``BATCH``; smaller ones stay. Spark reads them when it runs a plan."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key).lower().rstrip("b")
+        unit = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+        size = int(now.rstrip("kmg") or 0) << unit
+        if not 0 < size <= most:
+            spark.conf.set(key, str(most))
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """What Spark takes the input of ``df`` to hold, from file sizes; nothing is read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def pick(df: DataFrame, *cols: str) -> DataFrame:
-    """Only the named columns, however many others there are; batches to Python become bounded ones."""
-    for key, value in BATCH.items():
-        df.sparkSession.conf.set(key, value)
+    """Only the named columns, however many others there are."""
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 

@@ -1,11 +1,12 @@
 """Sum-of-squares packing of tokenized documents into fixed-length sequences.
 
 Every document becomes its token ids plus an end id; only one longer than a sequence is cut, into
-full pieces and a last shorter one. Pieces are dealt evenly over shards of about ``shard_rows``
-documents, and each shard packs its own: a piece goes where the sum of squared counts of open
-sequences, by residual gap, becomes smallest. A shard leaves a handful of sequences part filled, so
-the waste is in proportion to the number of shards and not to the corpus, and no task ever holds
-more than a shard's lengths (token ids stay in the task that made them).
+full pieces and a last shorter one. Pieces are written once, counted, and dealt evenly over shards of at
+most ``shard_rows``, and each shard packs its own: a piece goes where the sum of squared counts of open
+sequences, by residual gap, becomes smallest. No task ever holds more than a shard's lengths (token ids
+stay in the task that made them), however the input is partitioned and however long documents are. A shard
+leaves a handful of sequences part filled; measured, it takes one or two sequences more than its tokens
+would fill, of some ten thousand, so packing across shards could save no more than that.
 
 Defined cases: null or empty text has only the end id; null doc_id is kept as null; repeated rows
 are packed once each; an empty table gives no rows; other columns are ignored.
@@ -26,7 +27,7 @@ from .tokens import TOKENIZED_BYTES, word_ids
 
 SEQUENCE = 4096
 END_ID = 1
-SHARD_ROWS = 50_000
+SHARD_PIECES = 50_000
 #: Share of a shard's sequences, the emptiest, that are packed a second time.
 AGAIN = 0.2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -86,8 +87,8 @@ def pack_shard(lengths: np.ndarray, capacity: int, again: float = AGAIN) -> tupl
     return bins, offsets
 
 
-def pieces(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None, shards: int = 1) -> DataFrame:
-    """One row per piece of each document with the crc32 of its ids, and the shard it is dealt to."""
+def pieces(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None) -> DataFrame:
+    """One row per piece of each document with the crc32 of its ids, and a running number to deal it by."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -102,16 +103,17 @@ def pieces(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = No
                     n = b - a + 1
                     for piece, start in enumerate(range(0, n, sequence)):
                         stop = min(n, start + sequence)
-                        out.append((doc, piece, start, stop - start, zlib.crc32(memoryview(own)[4 * start : 4 * stop]), row % shards))
+                        out.append((doc, piece, start, stop - start, zlib.crc32(memoryview(own)[4 * start : 4 * stop]), row))
                         row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    struct = T._parse_datatype_string(PIECES + ", shard int")
+    common.bound_batches(docs.sparkSession)
+    struct = T._parse_datatype_string(PIECES + ", row long")
     schema = common.arrow_schema(struct)
     return common.pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, struct)
 
 
-def pack(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None, shard_rows: int = SHARD_PIECES) -> DataFrame:
     """Pieces of all documents with the sequence each lies in and its offset there."""
     struct = T._parse_datatype_string(PIECES + ", sequence_id long, offset long")
     schema = common.arrow_schema(struct)
@@ -123,8 +125,9 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None
         cols = [t.column(n) for n in schema.names[:5]]
         return pa.Table.from_arrays([*cols, pa.array(bins + (key[0].as_py() << 40)), pa.array(offsets)], schema=schema)
 
-    shards = max(1, -(-docs.count() // shard_rows))
-    return pieces(docs, sequence, tokenizer, shards).groupBy("shard").applyInArrow(run, struct)
+    cut = common.materialize(pieces(docs, sequence, tokenizer), "pieces")
+    shards = max(1, -(-cut.count() // shard_rows))
+    return cut.withColumn("shard", F.col("row") % shards).drop("row").groupBy("shard").applyInArrow(run, struct)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

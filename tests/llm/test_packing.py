@@ -176,3 +176,35 @@ def test_matrix_query_holds_every_token(spark, tiny, words, tmp_path):
     total = sum(len(direct(words, t)) + 1 for t in texts)
     assert sum(r.n_tokens for r in rows) == total and len(rows) <= 1.03 * total / 4096 + 5
     assert by_id(spark.createDataFrame([(1,)], "doc_id long"))
+
+
+def test_waste_does_not_depend_on_the_input_partitions(spark, words):
+    """All of sf0.01 in 1, 8 and 100 partitions: within a few sequences of what its tokens would fill."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for n in (1, 8, 100):
+        parts = docs.repartition(n)
+        packed = sum_squares.pack(parts).selectExpr("sequence_id", "length").groupBy("sequence_id").sum("length").collect()
+        least = -(-sum(r[1] for r in packed) // 4096)
+        assert len(packed) <= least + 3
+        tight = best_fit.pack_matrices(parts, task_bytes=4 << 20).select("n_tokens").collect()
+        assert sum(r[0] for r in tight) == sum(r[1] for r in packed)
+        if n == 1:
+            assert len(tight) <= least + 3
+
+
+def test_pieces_of_emptiest_rows_are_packed_with_the_next_block():
+    pieces = [(k, 0, 0, np.arange(n, dtype=np.uint32)) for k, n in enumerate([60, 33, 7, 100, 40, 3])]
+    rows, again = best_fit._matrix_rows(pieces, 100, 0, 5, 50)
+    assert sorted(r[1] for r in rows) == [100, 100] and [r[0] for r in rows] == [5, 6] and sorted(len(p[3]) for p in again) == [3, 7, 33]
+    rows, again = best_fit._matrix_rows(pieces, 100, 0, 0, 0)
+    assert sorted(r[1] for r in rows) == [43, 100, 100] and again == []
+
+
+def test_batches_are_bounded_and_smaller_bounds_stay(spark):
+    from cairn.llm import common
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for given, after in (("64MB", str(16 << 20)), ("1m", "1m"), ("1g", str(16 << 20))):
+        spark.conf.set(key, given)
+        common.bound_batches(spark)
+        assert spark.conf.get(key) == after
