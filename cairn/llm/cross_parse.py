@@ -39,6 +39,8 @@ SLOTS = 256
 SAMPLE_CHARS = 60_000
 ALL_CHARS = 2_000_000
 SEGMENT = 1024
+#: Segments that step together.
+AT_ONCE = 2048
 UNKNOWN = "und"
 
 
@@ -220,7 +222,7 @@ class Languages:
                 for a in range(0, len(codes), SEGMENT):
                     segments.append(codes[a : a + SEGMENT])
                     owner.append(k)
-        found = self.phrases(segments)
+        found = np.concatenate([self.phrases(segments[k : k + AT_ONCE]) for k in range(0, max(len(segments), 1), AT_ONCE)], axis=1)
         bits = np.zeros((len(self.names), len(texts)))
         for row in range(len(self.names)):
             bits[row] = np.bincount(np.array(owner, np.int64), found[row], len(texts)) * self.cost[row]

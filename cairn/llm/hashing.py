@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 
 _rng = np.random.default_rng(20240229)
@@ -10,6 +13,8 @@ _BYTE = _rng.integers(1, 1 << 64, 256, dtype=np.uint64)
 _R = np.uint64(0x9E3779B97F4A7C15 | 3)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
+#: Bytes of a buffer that are hashed at once, and of the longest word that is hashed as a polynomial.
+STRETCH, LONG = 1 << 18, 1 << 16
 
 #: Bytes of the space class [\x20\x09-\x0D].
 SPACES = (9, 10, 11, 12, 13, 32)
@@ -54,13 +59,29 @@ def space_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial in random byte values, from prefix sums, finalised with the length."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    values = _BYTE[data]
-    values *= _power("up", _R, n)
-    np.cumsum(values, out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power("down", _R_INV, n)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each word: a polynomial in random byte values, from prefix sums, finalised with the length.
+
+    Words come by their starts. Prefix sums are made of stretches of the buffer, so memory beside the
+    result doesn't grow with it; words of over ``LONG`` bytes have a cryptographic hash.
+    """
+    out = np.empty(len(starts), np.uint64)
+    size = ends - starts
+    for a, b in _stretches(starts):
+        lo = int(starts[a])
+        s, e = starts[a:b] - lo, np.minimum(ends[a:b], starts[a:b] + LONG) - lo
+        values = _BYTE[data[lo : lo + int(e.max())]]
+        n = len(values)
+        values *= _power("up", _R, n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values, out=sums[1:])
+        out[a:b] = (sums[e] - sums[s]) * _power("down", _R_INV, n)[s]
+    out = mix(out + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def _stretches(starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of words whose starts lie in the same ``STRETCH`` bytes."""
+    cuts = np.flatnonzero(np.diff(starts // STRETCH)) + 1
+    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(starts)], strict=True) if len(starts) else ()

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -98,3 +99,29 @@ def test_samples_are_shared_evenly_and_not_openings(docs):
 def test_learning_ignores_held_out_rows(docs):
     rows = [(k, "abc abc abc" if zlib.crc32(str(k).encode()) % 4 != 2 else "xyz xyz", ("en",)) for k in range(200)]
     assert set(map(chr, cp.learn(docs(rows)).alphabet)) == set("abc ")
+
+
+def test_double_array_holds_exactly_the_transitions():
+    rng = np.random.default_rng(5)
+    for states, width in ((1, 2), (60, 5), (400, 30), (3, 5000)):
+        pairs = np.unique(rng.integers(0, [states, width - 1], (states * 3, 2)) + [0, 1], axis=0)
+        to = rng.integers(0, states, len(pairs))
+        cells, base = cp.double_array(pairs[:, 0], pairs[:, 1], to, states, width)
+        assert len(np.unique(base)) == states and len(cells) < 8 * (len(pairs) + states) + 4 * width
+        known = {(s, c): t for (s, c), t in zip(pairs.tolist(), to.tolist(), strict=True)}
+        for s in range(states):
+            at = cells[base[s] + np.arange(width)]
+            got = {c: int(at[c] & 0xFFFFFFFF) for c in np.flatnonzero(at >> 32 == base[s]).tolist()}
+            assert got == {c: base[t] for (x, c), t in known.items() if x == s}
+
+
+def test_all_languages_share_a_bound(docs, monkeypatch):
+    rows = [(k, f"{chr(97 + k % 20) * 3} word{chr(97 + k % 20)} text " * 30, (f"l{k % 20:02}",)) for k in range(400)]
+    learned = cp.learn(docs(rows), all_chars=2000)
+    assert learned.names == [f"l{k:02}" for k in range(20)] and 2.0 ** max(learned.cost) <= 101
+    few = cp.common.slot_sample(docs(rows).select("doc_id", "lang"), 8, by=["lang"], groups=5)
+    counts = Counter(r.lang for r in few.collect())
+    every = Counter(r.lang for r in cp.common.slot_sample(docs(rows).select("doc_id", "lang"), 8, by=["lang"]).collect())
+    assert counts == dict(sorted(every.items(), key=lambda x: (-x[1], x[0]))[:5]) and len(every) == 20
+    wide = cp.Languages({"x": ["".join(chr(0x4E00 + k * 7 % 3000) for k in range(6000))]})
+    assert wide.cells.nbytes < 100 * 6000 + 16 * 3000

@@ -146,3 +146,18 @@ def test_query_matches_brute_force_and_oracle(spark, tiny, duck):
     got = queries.queries()["op8_hyper_minhash"](spark, tiny)
     assert got_of(got) == brute(rows)
     assert rows_of(got) == oracle_rows(duck, hm.SQL)
+
+
+def test_word_hashes_of_stretches_and_long_words(monkeypatch):
+    from cairn.llm import hashing
+
+    texts = ["a bc " * 50 + "x" * 300, "", "bc", "y" * 299 + " " + "x" * 300 + " a"]
+    data, _ = hashing.join_texts([t.encode() for t in texts])
+    starts, ends = hashing.space_words(data)
+    whole = hashing.word_hashes(data, starts, ends)
+    monkeypatch.setattr(hashing, "STRETCH", 16)
+    assert (hashing.word_hashes(data, starts, ends) == whole).all()
+    monkeypatch.setattr(hashing, "LONG", 100)
+    cut = hashing.word_hashes(data, starts, ends)
+    words = [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+    assert len(set(cut.tolist())) == len(set(words)) and all((x == y) == (len(w) <= 100) for x, y, w in zip(cut, whole, words, strict=True))
