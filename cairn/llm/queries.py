@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_hyper_minhash": hyper_minhash.query,
         "op9_cross_parse": cross_parse.query,
         "op10_sum_of_squares": sum_squares.query,
+        "personal_data_base": skip_chain.base_query,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_wu_manber": wu_manber.SQL,
         "op4_host_rules": host_rules.SQL,
         "op8_hyper_minhash": hyper_minhash.SQL,
+        "personal_data_base": skip_chain.BASE_SQL,
     }
