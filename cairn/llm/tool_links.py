@@ -24,7 +24,7 @@ or turn are ignored; repeated rows count once; of several calls or results with
 first by (turn, text) counts and ``n_results`` tells how many there were; a result without a call is an
 `orphan`, a call without a result `unanswered`; a block without an identifier gets one made from its turn,
 its place in the message and its hash, so such calls are each their own and such results orphans; malformed JSON makes a call with null name and
-``args_valid`` false, and a result with null content; calls in or behind a cycle have null order keys; empty tables give no rows;
+``args_valid`` false, and a result with null content; a start tag without an end tag before the next one is text; calls in or behind a cycle have null order keys; empty tables give no rows;
 other columns are ignored.
 """
 
@@ -56,8 +56,12 @@ def quoted(text: Column) -> Column:
 
 
 def _blocks(messages: DataFrame, tag: str) -> DataFrame:
-    body = F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s)<{tag}>\\s*(.*?)\\s*</{tag}>"), F.lit(1)))
-    return messages.where(F.col("text").contains(f"<{tag}>")).select("conv_id", F.lit("block").alias("space"), "turn", body.alias("place", "body"))
+    """The bodies of a message's blocks, in one pass over its text: what stands between a start tag and the next end tag."""
+    begin, end = f"<{tag}>", f"</{tag}>"
+    after = F.split("text", begin)
+    pieces = messages.where(F.col("text").contains(begin)).select("conv_id", "turn", F.posexplode(F.slice(after, 2, F.size(after))).alias("place", "_piece"))
+    body = F.btrim(F.substring_index("_piece", end, 1), F.lit(" \t\n\x0b\f\r"))
+    return pieces.where(F.col("_piece").contains(end)).select("conv_id", F.lit("block").alias("space"), "turn", "place", body.alias("body"))
 
 
 def _field(name: str) -> Column:

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 from cairn.llm import queries, tool_links
 
@@ -127,3 +128,15 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     got = {int(r.call_id[1:]): (r.order_turn, r.order_level) for r in tool_links.order_keys(df).collect()}
     assert {f"c{k}": v for k, v in got.items()} == by_rounds({f"c{k}": (k % 7, [f"c{k + 1}"] if k < n else []) for k in range(n + 1)})
     assert made.count("ordered") <= 11
+
+
+def test_hard_messages_take_linear_time(table):
+    begun = time.perf_counter()
+    one = '{"id": "a", "name": "f", "arguments": {"x": "' + " " * 300_000 + '"}}'
+    rows = [
+        (1, 1, "tool", "<tool_call>" * 200_000), (1, 2, "tool", "<tool_call>" * 100_000 + one + "</tool_call>" * 100_000), (1, 3, "tool", "<tool_response>" + " \n" * 500_000 + "x"),
+        (1, 4, "tool", "<tool_response>" + " " * 500_000 + '{"id": "a", "content": 1}' + "\t" * 500_000 + "</tool_response>"), (1, 5, "tool", "</tool_call>" * 100_000),
+    ]
+    got = formatted(table, rows)
+    assert got[1, "a"].status == "linked" and got[1, "a"].result_turn == 4 and len([r for r in got.values() if r.status != "message"]) == 1
+    assert time.perf_counter() - begun < 40
