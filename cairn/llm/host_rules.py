@@ -80,8 +80,9 @@ def host_verdicts(failed: DataFrame, host: str = "source", spread: float = SPREA
     hosts = hosts.withColumn("_p", prior.select(F.struct("m", strength.alias("k"))).scalar())
     p = F.col("_p")
     shrunk = (F.col("n_failed") + p["m"] * p["k"]) / (F.col("n_docs") + p["k"])
-    limit = p["m"] + spread * F.sqrt(p["m"] * (1 - p["m"]) / (p["k"] + 1))
-    off = sure * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("n_docs") + p["k"] + 1))
+    deviation = lambda rate, weight: F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.0)) / (weight + 1))
+    limit = p["m"] + spread * deviation(p["m"], p["k"])
+    off = sure * deviation(F.col("host_rate"), F.col("n_docs") + p["k"])
     rated = hosts.select("_host", "n_docs", "n_failed", shrunk.alias("host_rate"), limit.alias("host_limit"), "_p")
     return rated.withColumn("host_failed", F.col("host_rate") - off > F.col("host_limit")).drop("_p")
 
@@ -124,7 +125,7 @@ h AS (SELECT source, count(*) AS n, sum(CAST(failed AS INT)) AS k FROM f GROUP B
 p AS (SELECT avg(k / n) AS m, coalesce(var_samp(k / n), 0) AS v FROM h),
 q AS (SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1) ELSE 1 END AS s FROM p),
 r AS (SELECT source, n, s, m, (k + m * s) / (n + s) AS rate FROM h, q),
-v AS (SELECT source, rate - 3 * sqrt(rate * (1 - rate) / (n + s + 1)) > m + sqrt(m * (1 - m) / (s + 1)) AS host_failed FROM r)
+v AS (SELECT source, rate - 3 * sqrt(greatest(rate * (1 - rate), 0) / (n + s + 1)) > m + sqrt(greatest(m * (1 - m), 0) / (s + 1)) AS host_failed FROM r)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept
 FROM f JOIN v ON v.source IS NOT DISTINCT FROM f.source
