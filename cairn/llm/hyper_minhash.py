@@ -154,17 +154,18 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(band, at, node, size) for each band of each form that a class carries; a band with an empty register is none.
+    """(band, node) for each band of each form that a class carries; a band with an empty register is none.
 
-    ``band`` is a hash of form, place and registers, ``at`` the place.
+    ``band`` is a hash of form, place and registers, with the place in its last seven bits.
     """
 
     def keys(form: str, salt: int) -> Column:
         part = lambda k: F.substring(form, k * (2 * BAND) + 1, F.lit(2 * BAND))
-        each = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.when(~F.contains(part(k), F.unhex(F.lit("0000"))), F.struct(F.xxhash64(F.lit(salt), k, part(k)).alias("band"), (k + BUCKETS * salt).cast("short").alias("at"))))
-        return F.when(F.col(form).isNotNull(), F.array_compact(each)).otherwise(F.array().cast("array<struct<band:bigint,at:smallint>>"))
+        band = lambda k: F.xxhash64(F.lit(salt), k, part(k)).bitwiseAND(F.lit(-2 * BUCKETS)) + k + BUCKETS * salt
+        each = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.when(~F.contains(part(k), F.unhex(F.lit("0000"))), band(k)))
+        return F.when(F.col(form).isNotNull(), F.array_compact(each)).otherwise(F.array().cast("array<bigint>"))
 
-    return classes.select("node", F.col("n_shingles").alias("size"), F.explode(F.concat(keys("small", 0), keys("large", 1))).alias("_b")).select("_b.band", "_b.at", "node", "size")
+    return classes.select(F.explode(F.concat(keys("small", 0), keys("large", 1))).alias("band"), "node")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -254,7 +255,7 @@ def _extended(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _bucket_pairs(members: DataFrame, classes: DataFrame, best: int | None, split_from: int = SPLIT_FROM, most_splits: int = MOST_SPLITS) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and whose registers allow a link.
 
-    ``members`` has (band, at, node, size, comp). In each bucket the rows outside its main component meet
+    ``members`` has (band, at, node, comp). In each bucket the rows outside its main component meet
     all its rows, in tiles of bounded size, by their registers; a pair is emitted only in the first bucket
     that it shares. With ``best``, only that many of the most similar pairs of each outer row of a tile.
     Pairs without a second shared band are left out where a bucket is split; ``most_splits`` of 0 compares all.
@@ -274,8 +275,8 @@ def _bucket_pairs(members: DataFrame, classes: DataFrame, best: int | None, spli
         large = mixed.where(F.col("_outside") > split_from)
         if last or large.isEmpty():
             break
-        members = large.select("band", "at", "path", "node", "size", "comp").join(bands_of, "node").where("_more_at > at")
-        members = members.select(F.xxhash64("band", "_more").alias("band"), F.col("_more_at").alias("at"), F.concat("path", F.array("_more_at")).alias("path"), "node", "size", "comp")
+        members = large.select("band", "at", "path", "node", "comp").join(bands_of, "node").where("_more_at > at")
+        members = members.select(F.xxhash64("band", "_more").alias("band"), F.col("_more_at").alias("at"), F.concat("path", F.array("_more_at")).alias("path"), "node", "comp")
         sizes = members.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
         members = common.materialize(members.join(sizes, "band", "left_semi"), "split")
         temporary.append(members)
@@ -289,11 +290,12 @@ def _compared(mixed: DataFrame, classes: DataFrame, best: int | None) -> DataFra
     tiles_out, tiles_in = F.ceil(F.col("_outside") / TILE_OUTER), F.ceil(F.col("_all") / TILE_INNER)
     part = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), n)
     other = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    cols = ["band", "path", "node", "size", "comp", (F.col("comp") == F.col("_main")).alias("main")]
+    cols = ["band", "path", "node", "comp", (F.col("comp") == F.col("_main")).alias("main")]
     outer = mixed.where("comp <> _main").select(*cols, F.lit(True).alias("outer"), part(tiles_out, 1).alias("o"), other(tiles_in).alias("i"))
     inner = mixed.select(*cols, F.lit(False).alias("outer"), other(tiles_out).alias("o"), part(tiles_in, 2).alias("i"))
     registers = F.when(F.col("path")[0] < BUCKETS, F.col("small")).otherwise(F.col("large")).alias("registers")
-    rows = outer.union(inner).join(classes.select("node", "small", "large"), "node").select("band", "o", "i", "path", "node", "size", "comp", "main", "outer", registers)
+    own = classes.select("node", F.col("n_shingles").alias("size"), "small", "large")
+    rows = outer.union(inner).join(own, "node").select("band", "o", "i", "path", "node", "size", "comp", "main", "outer", registers)
     rows = rows.repartition("band", "o", "i").sortWithinPartitions("band", "o", "i")
 
     def run(batches):
@@ -362,23 +364,29 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     some = sketch.where("n_shingles > 0")
     # registers follow from the set, so they are grouping keys and not aggregates
     classes = common.materialize(some.groupBy("node", "n_shingles", "small", "large").agg(F.min("doc_id").alias("rep")), "classes")
+    full, sketch = sketch, common.materialize(sketch.select("doc_id", "n_shingles", "node"), "sets")
+    common.discard(full)
     rows = common.materialize(bands(classes), "bands")
     # only hashes are shuffled to learn which bands are shared; few are
     shared = common.materialize(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "shared")
-    members = common.materialize(rows.join(shared, "band"), "members")
+    # a merge join at every size: what is shared grows with the documents
+    members = rows.join(shared.hint("merge"), "band").select("band", F.col("band").bitwiseAND(F.lit(2 * BUCKETS - 1)).cast("short").alias("at"), "node")
+    members = common.materialize(members, "members")
+    # from here on only classes in some bucket matter, with their registers and texts
+    sharing = common.materialize(classes.join(members.select("node").distinct(), "node", "left_semi"), "sharing")
     common.discard(rows, shared)
     centers = common.materialize(members.groupBy("band").agg(F.min("node").alias("center")), "centers")
     stars = members.join(centers, "band").where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    candidates = common.materialize(_estimated(stars, classes), "candidates")
-    texts = common.materialize(_texts_of(docs, classes.join(members.select("node").distinct(), "node", "left_semi")), "texts")
+    candidates = common.materialize(_estimated(stars, sharing), "candidates")
+    texts = common.materialize(_texts_of(docs, sharing), "texts")
     links = common.materialize(_verified(candidates, texts), "links")
     labels = components(links)
     tried = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    temporary = [members, centers, candidates, texts, links]
+    temporary = [members, centers, sharing, candidates, texts, links]
     for best in (2, None):
         # first the likeliest links of each row, for these leave far fewer components to compare in full
-        placed = members.join(labels, "node", "left").select("band", "at", "node", "size", F.coalesce("comp", "node").alias("comp"))
-        pairs = _bucket_pairs(placed, classes, best) if best else _bucket_pairs(placed, classes, None, most_splits=0)
+        placed = members.join(labels, "node", "left").select("band", "at", "node", F.coalesce("comp", "node").alias("comp"))
+        pairs = _bucket_pairs(placed, sharing, best) if best else _bucket_pairs(placed, sharing, None, most_splits=0)
         fresh = common.materialize(pairs.join(tried, ["a", "b"], "left_anti"), "fresh")
         more = common.materialize(_verified(fresh, texts), "links")
         if not more.isEmpty():
