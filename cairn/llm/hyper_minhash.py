@@ -415,7 +415,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     verdicts = common.materialize(_verdicts(docs).where("doc_id is not null").select("doc_id", "node", "kept"), "verdicts")
     ids = common.materialize(verdicts.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.count(F.lit(1)).alias("n")).where("some"), "ids")
-    clear = docs.join(ids.where("n = 1"), "doc_id", "left_semi").select(*docs.columns)
+    # a merge join at every size, as the ids that stay grow with the documents
+    clear = docs.join(ids.where("n = 1").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
 
     def compute(part: pa.RecordBatch) -> list:
         return [[_node(s) for s in shingle_sets(common.texts_of(part))]]
