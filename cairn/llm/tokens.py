@@ -8,6 +8,7 @@ tokenizer.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -15,8 +16,8 @@ import regex
 
 from . import hashing
 
-#: Words that a worker remembers before it starts afresh; a bound on memory only, never on results.
-CACHE_WORDS = 500_000
+#: Words that a worker remembers (some 50 bytes each) before it starts afresh; a bound on memory only, never on results.
+CACHE_WORDS = 1_500_000
 #: Pieces of words that a worker remembers as Python objects; likewise only a bound on memory.
 CACHE_PIECES = 50_000
 #: Text bytes that are tokenized at once.
@@ -47,7 +48,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.clear()
 
@@ -70,7 +71,7 @@ class WordIds:
         ids = self.pieces.get(piece)
         if ids is None:
             shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(shown)]
+            ids = [t.id for t in self.tokenize(shown)]
             if len(self.pieces) >= CACHE_PIECES:
                 self.pieces.clear()
             if len(piece) < 24:
@@ -89,7 +90,7 @@ class WordIds:
         more = int(size.sum())
         if self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(max(more, len(self.flat)), np.uint32)])
-        self.flat[self.used : self.used + more] = np.fromiter((i for x in ids for i in x), np.uint32, more)
+        self.flat[self.used : self.used + more] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, more)
         place = self.used + np.cumsum(size) - size
         self.used += more
         new = (h, place, size)
