@@ -16,10 +16,11 @@ about such tokens, and what a link is worth is learned from them. Texts stay on
 reaches the driver is how often each combination of shape, label and neighbouring labels occurs.
 
 Loopy belief propagation on log messages runs on each document's graph. A number that a document shows
-once as `+49 ...` is also found where it stands without the prefix. The graph has the tokens whose form (what
-makes them similar) some base match has; others are O, as shape alone decides nothing, so a document
-without base matches needs no graph. Each token is linked to the first base match of its form and to the
-occurrence before it, not to all, so a graph has at most twice as many skip edges as tokens.
+once as `+49 ...` is also found where it stands without the prefix. The graph has all tokens that hold a
+digit or an at sign, in documents without base matches too. Each token is linked to the first base match of
+its form (what makes tokens similar) and to the occurrence before it, not to all, so a graph has at most
+twice as many skip edges as tokens. Tokens in base matches, and those whose form permits no label but O,
+have their label for sure: what they tell their neighbours is added to these at once, which is exact.
 
 Defined cases: null and empty texts have no spans; null doc_id is kept; repeated rows are scanned
 each; an empty table gives no rows; without a sample the weights are those of the prior (O, and links
@@ -28,11 +29,13 @@ that favour equal labels); other columns are ignored or kept.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import json
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -127,9 +130,8 @@ def quad(token: str) -> list[str] | None:
     return [q.lstrip("0") or "0" for q in parts] if len(parts) == 4 and all(q.isdecimal() and q.isascii() and _octet(q) for q in parts) else None
 
 
-def features(text: str, a: int, b: int) -> list[int]:
+def features(token: str) -> list[int]:
     """Numbers of the shape features that hold for a token."""
-    token = text[a:b]
     plain = "".join(c for c in token if c.isdecimal())
     digits, dots, at, letters = len(plain), token.count("."), "@" in token, any(map(str.isalpha, token))
     out = [0, 1 + min(digits, 20), 22 + min(dots, 4), 27 + at, 29 + letters, 31 + token.startswith("+"), 33 + (quad(token) is not None)]
@@ -138,9 +140,8 @@ def features(text: str, a: int, b: int) -> list[int]:
     return out
 
 
-def permitted(text: str, a: int, b: int) -> list[bool]:
+def permitted(token: str) -> list[bool]:
     """Which labels a token's form permits: checks that no evidence overrides."""
-    token = text[a:b]
     digits = "".join(c for c in token if c.isdecimal())
     letters = any(map(str.isalpha, token))
     number = not letters and "@" not in token
@@ -162,6 +163,33 @@ def form(token: str) -> str:
     return digits[-7:] if len(digits) >= 7 else ""
 
 
+@functools.lru_cache(1 << 14)
+def _seen(token: str) -> tuple[tuple, str]:
+    return (tuple(features(token)), tuple(permitted(token))), form(token)
+
+
+def seen(token: str) -> tuple[tuple, str]:
+    """The shape (features and permitted labels) and the form of a token; those of short ones are remembered."""
+    return _seen(token) if len(token) < 64 else _seen.__wrapped__(token)
+
+
+class Spans(Sequence):
+    """Pairs of start and end in one array, as a text may have millions."""
+
+    def __init__(self, at: np.ndarray):
+        self.at = at
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, k: int) -> tuple[int, int]:
+        return tuple(self.at[k].tolist())
+
+    def __iter__(self) -> Iterator[tuple[int, int]]:
+        for k in range(0, len(self.at), 4096):
+            yield from map(tuple, self.at[k : k + 4096].tolist())
+
+
 def covering(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
     """Each token with the kind of the base match that it meets, or -1."""
     by_start = sorted((s, e, k) for k, s, e in base)
@@ -172,73 +200,110 @@ def covering(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int,
         yield a, b, by_start[j][2] if j < len(by_start) and by_start[j][0] < b else -1
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """The tokens of a document's graph, those whose form some base match has, and the kind of base match they meet or -1."""
-    known = {form(text[a:b]) for a, b, k in covering(text, base) if k >= 0} - {""} if base else set()
-    found = [(a, b, k) for a, b, k in covering(text, base) if form(text[a:b]) in known] if known else []
-    return [(a, b) for a, b, _ in found], np.fromiter((k for _, _, k in found), np.int64, len(found))
+def candidates(text: str, base: list[tuple[int, int, int]]) -> tuple[Spans, np.ndarray]:
+    """All tokens of a document, which are its graph, and the kind of base match they meet or -1."""
+    found = np.fromiter(itertools.chain.from_iterable(covering(text, base)), np.int64).reshape(-1, 3)
+    return Spans(found[:, :2].copy()), found[:, 2].astype(np.int8)
+
+
+def shapes(text: str, spans: Spans) -> tuple[list[tuple], np.ndarray]:
+    """The distinct shapes of some tokens, and which of them each token has."""
+    number: dict[tuple, int] = {}
+    which = np.fromiter((number.setdefault(seen(text[a:b])[0], len(number)) for a, b in spans), np.int32, len(spans))
+    return list(number), which
 
 
-def links(text: str, spans: list[tuple[int, int]], sure: np.ndarray) -> np.ndarray:
+def links(text: str, spans: Spans, sure: np.ndarray) -> np.ndarray:
     """Skip edges (i, j) of tokens of a form: each to the form's first sure one and to the one before, but for edges between sure ones."""
     last: dict[str, int] = {}
     hub: dict[str, int] = {}
-    forms = [form(text[a:b]) for a, b in spans]
-    for k, own in enumerate(forms):
-        if sure[k]:
-            hub.setdefault(own, k)
-    out = []
-    for k, own in enumerate(forms):
-        for other in {hub.get(own, k), last.get(own, k)}:
-            if other != k and not (sure[k] and sure[other]):
-                out += [other, k]
-        last[own] = k
-    return np.array(out, np.int64).reshape(-1, 2)
-
-
-def chains(text: str, spans: list[tuple[int, int]], sure: np.ndarray) -> np.ndarray:
+    for k in np.flatnonzero(sure).tolist():
+        a, b = spans[k]
+        hub.setdefault(seen(text[a:b])[1], k)
+
+    def ends() -> Iterator[int]:
+        for k, (a, b) in enumerate(spans):
+            own = seen(text[a:b])[1]
+            if own:
+                for other in {hub.get(own, k), last.get(own, k)}:
+                    if other != k and not (sure[k] and sure[other]):
+                        yield from (other, k)
+                last[own] = k
+
+    return np.fromiter(ends(), np.int32).reshape(-1, 2)
+
+
+def chains(text: str, spans: Spans, sure: np.ndarray) -> np.ndarray:
     """Edges between tokens with only spaces between them, three at most, but for edges between sure ones."""
-    out = [(k, k + 1) for k in range(len(spans) - 1) if spans[k + 1][0] - spans[k][1] < 4 and text[spans[k][1] : spans[k + 1][0]].isspace() and not (sure[k] and sure[k + 1])]
-    return np.array(out, np.int64).reshape(-1, 2)
+    stop, start = spans.at[:-1, 1], spans.at[1:, 0]
+    near = np.flatnonzero((start - stop < 4) & ~(sure[:-1] & sure[1:]))
+    near = near[[text[a:b].isspace() for a, b in zip(stop[near].tolist(), start[near].tolist(), strict=True)]] if len(near) else near
+    return np.column_stack([near, near + 1]).astype(np.int32)
+
+
+#: An edge of a graph, and edges that are worked on at once.
+EDGE = [("i", np.int32), ("j", np.int32), ("weight", np.float64)]
+EDGES_AT_ONCE = 1 << 16
+#: Log potential of a label that a token can't have.
+NEVER = -1e9
+
+
+def _added(total: np.ndarray, target: np.ndarray, log: np.ndarray) -> None:
+    """Adds each row of ``log`` to the target's row of ``total``."""
+    states = total.shape[1]
+    np.add.at(total.reshape(-1), (target.astype(np.int64)[:, None] * states + np.arange(states)).reshape(-1), log.reshape(-1))
 
 
 def beliefs(node: np.ndarray, edges: list[tuple[int, int, float]] | np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
-    """Marginals by loopy sum-product on log messages; an edge of weight w favours equal labels by exp(w)."""
+    """Marginals by loopy sum-product on log messages; an edge of weight w favours equal labels by exp(w).
+
+    A node with one possible label always sends the same message, so its edges are settled before the sweeps.
+    """
     n, states = node.shape
-    if not len(edges):
-        e = np.exp(node - node.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
-    edges = np.asarray(edges, float)
-    left, right = edges[:, 0].astype(np.int64), edges[:, 1].astype(np.int64)
-    source, target = np.concatenate([left, right]), np.concatenate([right, left])
-    back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-    same = np.expm1(np.tile(edges[:, 2], 2))[:, None]
-    message = np.full((len(source), states), 1.0 / states)
-    total = node.copy()
-    for _ in range(sweeps):
-        log = np.log(message)
-        total = node.copy()
-        np.add.at(total, target, log)
-        out = total[source] - log[back]
-        out = np.exp(out - out.max(1, keepdims=True))
-        new = out.sum(1, keepdims=True) + same * out
-        message = 0.1 * message + 0.9 * new / new.sum(1, keepdims=True)
-    total = node.copy()
-    np.add.at(total, target, np.log(message))
+    edges = np.asarray(edges, EDGE)
+    node = np.array(node, np.float64)
+    sure = (node > NEVER / 2).sum(1) == 1
+    for a, b in (("i", "j"), ("j", "i")):
+        fixed = edges[sure[edges[a]] & ~sure[edges[b]]]
+        np.add.at(node, (fixed[b], node[fixed[a]].argmax(1)), fixed["weight"])
+    edges = edges[~sure[edges["i"]] & ~sure[edges["j"]]]
+    total = node
+    if len(edges):
+        message = np.full((2, len(edges), states), 1.0 / states, np.float32)
+        for sweep in range(sweeps + 1):
+            before, total = total, node.copy()
+            for at in range(0, len(edges), EDGES_AT_ONCE):
+                part = edges[at : at + EDGES_AT_ONCE]
+                ends, own = (part["i"], part["j"]), message[:, at : at + EDGES_AT_ONCE]
+                if sweep:
+                    # message 0 goes from i to j, message 1 back
+                    log = np.log(own, dtype=np.float64)
+                    for way in range(2):
+                        out = before[ends[way]] - log[1 - way]
+                        out = np.exp(out - out.max(1, keepdims=True))
+                        new = out.sum(1, keepdims=True) + np.expm1(part["weight"])[:, None] * out
+                        own[way] = 0.1 * own[way] + 0.9 * new / new.sum(1, keepdims=True)
+                log = np.log(own, dtype=np.float64)
+                for way in range(2):
+                    _added(total, ends[1 - way], log[way])
     e = np.exp(total - total.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 
 
-def field(text: str, spans: list[tuple[int, int]], kind: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def field(text: str, spans: Spans, kind: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Node potentials and edges (i, j, weight) of a document's graph; tokens in a base match have its label for sure."""
-    node = np.full((len(spans), len(LABELS)), -1e9)
-    for k, (a, b) in enumerate(spans):
-        if kind[k] >= 0:
-            node[k, 1 + kind[k]] = 0.0
-        else:
-            node[k] = np.where(permitted(text, a, b), weights[features(text, a, b)].sum(0), -1e9)
-    both = [(links(text, spans, kind >= 0), weights[FEATURES, 0]), (chains(text, spans, kind >= 0), weights[FEATURES + 1, 0])]
-    return node, np.concatenate([np.column_stack([e, np.full(len(e), w)]) for e, w in both])
+    kinds, which = shapes(text, spans)
+    node = np.array([np.where(ok, weights[list(shape)].sum(0), NEVER) for shape, ok in kinds]).reshape(-1, len(LABELS))[which]
+    sure = kind >= 0
+    node[sure] = NEVER
+    node[sure, 1 + kind[sure]] = 0.0
+    both = [(links(text, spans, sure), weights[FEATURES, 0]), (chains(text, spans, sure), weights[FEATURES + 1, 0])]
+    edges = np.empty(sum(len(e) for e, _ in both), EDGE)
+    at = 0
+    for e, w in both:
+        edges["i"][at : at + len(e)], edges["j"][at : at + len(e)], edges["weight"][at : at + len(e)] = e[:, 0], e[:, 1], w
+        at += len(e)
+    return node, edges
 
 
 def label(text: str, base: list[tuple[int, int, int]], weights: np.ndarray) -> list[tuple[int, int, int]]:
@@ -248,7 +313,7 @@ def label(text: str, base: list[tuple[int, int, int]], weights: np.ndarray) -> l
         return []
     p = beliefs(*field(text, spans, kind, weights))
     best = p[:, 1:].argmax(1)
-    return [(int(best[k]), *spans[k]) for k in np.flatnonzero(kind < 0).tolist() if p[k, 1 + best[k]] >= LEAST]
+    return [(int(best[k]), *spans[k]) for k in np.flatnonzero((kind < 0) & (p[np.arange(len(p)), 1 + best] >= LEAST)).tolist()]
 
 
 # --- learning
@@ -288,22 +353,19 @@ def examples(text: str) -> Counter:
     base = base_spans(text)
     starts = {(a, b): 1 + k for k, a, b in base}
     spans, kind = candidates(text, base)
-    number = {span: k for k, span in enumerate(spans)}
-    gold = [own.get(s, 1 + int(kind[k])) for k, s in enumerate(spans)]
-    near = np.zeros((len(spans), 2, len(LABELS)), np.int64)
-    for which, edges in enumerate((links(text, spans, kind >= 0), chains(text, spans, kind >= 0))):
-        for i, j in edges.tolist():
-            near[i, which, gold[j]] += 1
-            near[j, which, gold[i]] += 1
-    out: Counter = Counter()
-    none = (0,) * (2 * len(LABELS))
-    for a, b, k in covering(text, base):
-        # a token that is part of a match only is no example itself
-        if k < 0 or (a, b) in starts:
-            at = number.get((a, b))
-            label_of = own.get((a, b), starts.get((a, b), 0))
-            out[tuple(features(text, a, b)), tuple(permitted(text, a, b)), label_of, none if at is None else tuple(near[at].clip(0, 2).ravel().tolist())] += 1
-    return out
+    kinds, which = shapes(text, spans)
+    sure, states = kind >= 0, len(LABELS)
+    gold = np.fromiter((own.get(s, 1 + k) for s, k in zip(spans, kind.tolist(), strict=True)), np.int64, len(spans))
+    near = []
+    for edges in (links(text, spans, sure), chains(text, spans, sure)):
+        i, j = edges[:, 0].astype(np.int64), edges[:, 1].astype(np.int64)
+        count = np.bincount(i * states + gold[j], minlength=len(spans) * states) + np.bincount(j * states + gold[i], minlength=len(spans) * states)
+        near.append(count.reshape(-1, states).clip(0, 2).astype(np.int32))
+    # a token that is part of a match only is no example itself
+    own_row = np.fromiter((s in starts for s in spans), bool, len(spans)) | ~sure
+    label_of = np.fromiter((own.get(s, starts.get(s, 0)) for s in spans), np.int32, len(spans))
+    rows, number = np.unique(np.column_stack([which, label_of, *near])[own_row], axis=0, return_counts=True)
+    return Counter({(*kinds[row[0]], row[1], tuple(row[2:])): n for row, n in zip(rows.tolist(), number.tolist(), strict=True)})
 
 
 def fit(rows: Counter, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:

@@ -183,3 +183,36 @@ def test_sql_of_base_columns_on_odd_texts():
         base = sc.base_spans(text)
         digest = hashlib.sha256(",".join(f"{sc.KINDS[c]}:{a}:{b}" for c, a, b in base).encode()).hexdigest()
         assert got[k] == (*(sum(c == x for c, _, _ in base) for x in range(4)), digest), text[:40]
+
+
+def test_the_graph_has_all_tokens():
+    """Documents without base matches, and tokens that no base match is similar to, are decided by the field too."""
+    text = "call 030 1234567 at 10:30; 030-1234567 or x7@home, x7"
+    spans, kind = sc.candidates(text, [])
+    assert [text[a:b] for a, b in spans] == ["030 1234567", "10", "30", "030-1234567", "x7@home", "x7"] and kind.tolist() == [-1] * 6
+    assert sc.links(text, spans, kind >= 0).tolist() == [[0, 3], [4, 5]]
+    # evidence of shape alone: a plus
+    weights = sc.train([])
+    weights[32, 4] = 9.0
+    assert added("x 2024 y +12345678 z", weights) == [] and sc.base_spans("x +12345678 y") != []
+    assert added("x +1234567 y +1234567.", weights) == ["+1234567", "+1234567"]
+    # and of a neighbour in the chain, over another token
+    weights = sc.train([])
+    weights[sc.FEATURES + 1] = 12.0
+    assert added("+49 30 1234567\t030 7654321\t5557654", weights) == ["030 7654321", "5557654"]
+    assert added("+49 30 1234567 x\t030 7654321\t5557654", weights) == []
+
+
+def test_sure_neighbours_and_stretches_of_edges_change_nothing(monkeypatch):
+    rng = np.random.default_rng(2)
+    node = rng.normal(size=(9, 3))
+    node[[0, 4, 7], 1:] = sc.NEVER
+    edges = [(i, i + 1, float(w)) for i, w in enumerate(rng.normal(size=8))]
+    exact = np.zeros((9, 3))
+    for labels in itertools.product(range(3), repeat=9):
+        p = np.exp(sum(node[k, v] for k, v in enumerate(labels)) + sum(w for i, j, w in edges if labels[i] == labels[j]))
+        exact[range(9), labels] += p
+    assert np.abs(sc.beliefs(node, edges, 60) - exact / exact.sum(1, keepdims=True)).max() < 1e-6
+    whole = sc.beliefs(node, edges, 5)
+    monkeypatch.setattr(sc, "EDGES_AT_ONCE", 2)
+    assert np.abs(sc.beliefs(node, edges, 5) - whole).max() < 1e-12
