@@ -7,6 +7,7 @@ replaced by the result column.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -127,6 +128,14 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def release() -> None:
+    """Gives back what Arrow and the C library keep of freed memory; a worker lives on between tasks, and two or more share an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def stored_bytes(df: DataFrame) -> int:
     """What Spark takes the input of ``df`` to hold, from file sizes; nothing is read."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

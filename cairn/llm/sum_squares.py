@@ -30,6 +30,8 @@ END_ID = 1
 SHARD_PIECES = 50_000
 #: Share of a shard's sequences, the emptiest, that are packed a second time.
 AGAIN = 0.2
+#: Bytes of stored input that a task should have at least.
+TASK_BYTES = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -87,8 +89,11 @@ def pack_shard(lengths: np.ndarray, capacity: int, again: float = AGAIN) -> tupl
     return bins, offsets
 
 
-def pieces(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None) -> DataFrame:
-    """One row per piece of each document with the crc32 of its ids, and a running number to deal it by."""
+def pieces(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """One row per piece of each document with the crc32 of its ids, and a running number to deal it by.
+
+    Small partitions are joined, as each one writes a file.
+    """
 
     def run(batches):
         from pyspark import TaskContext
@@ -106,11 +111,14 @@ def pieces(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = No
                         out.append((doc, piece, start, stop - start, zlib.crc32(memoryview(own)[4 * start : 4 * stop]), row))
                         row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            common.release()
 
     common.bound_batches(docs.sparkSession)
     struct = T._parse_datatype_string(PIECES + ", row long")
     schema = common.arrow_schema(struct)
-    return common.pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, struct)
+    tasks = -(-common.stored_bytes(docs) // task_bytes)
+    picked = common.pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return picked.coalesce(max(1, min(tasks, 1 << 20))).mapInArrow(run, struct)
 
 
 def pack(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None, shard_rows: int = SHARD_PIECES) -> DataFrame:

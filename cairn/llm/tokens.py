@@ -18,6 +18,8 @@ from . import hashing
 
 #: Words that a worker remembers (some 50 bytes each) before it starts afresh; a bound on memory only, never on results.
 CACHE_WORDS = 1_500_000
+#: Ids of remembered words, likewise: long words have many.
+CACHE_IDS = 8_000_000
 #: Pieces of words that a worker remembers as Python objects; likewise only a bound on memory.
 CACHE_PIECES = 50_000
 #: Text bytes that are tokenized at once.
@@ -105,7 +107,7 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's ids start (and the end)."""
-        if len(self.known[0]) + len(self.recent[0]) > CACHE_WORDS:
+        if len(self.known[0]) + len(self.recent[0]) > CACHE_WORDS or self.used > CACHE_IDS:
             self.clear()
         data, at = hashing.join_texts([t.encode() for t in texts])
         starts, ends = hashing.space_words(data)

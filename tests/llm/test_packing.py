@@ -37,6 +37,28 @@ def test_forgetting_words_changes_nothing(words, monkeypatch):
         assert words.encode([text])[0].tolist() == direct(words, text)
 
 
+def test_remembered_ids_are_bounded(words, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_IDS", 1000, raising=False)
+    words.clear()
+    for k in range(60):
+        text = f"{k}x" * 200
+        assert words.encode([text])[0].tolist() == direct(words, text)
+        assert words.used <= 2000
+    words.clear()
+
+
+def test_small_partitions_are_joined(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    rows = [(k, f"word{k} and more " * (k % 7)) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(20).write.parquet(path)
+    docs = spark.read.parquet(path)
+    whole, parts = sum_squares.pieces(docs.repartition(20)), sum_squares.pieces(docs.repartition(20), task_bytes=1)
+    assert whole.rdd.getNumPartitions() == 1 and parts.rdd.getNumPartitions() == 20
+    keys = ("doc_id", "piece", "start", "length", "ids_crc32")
+    assert sorted(whole.select(*keys).collect()) == sorted(parts.select(*keys).collect())
+    assert [r.doc_id for r in by_id(sum_squares.pack(docs))] == list(range(60))
+
+
 def slow_sum_of_squares(lengths, capacity):
     """The rule by its definition: try every place and count the squares."""
     gaps, out = [], []
