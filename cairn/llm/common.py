@@ -104,6 +104,7 @@ def add_columns(
                 arrays = [part.column(c).cast(schema.field(c).type) for c in kept]
                 arrays += [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, type=schema.field(f.name).type) for v, f in zip(values, new.fields, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        release()
 
     bound_batches(df.sparkSession)
     return df.mapInArrow(run, out)
