@@ -1,7 +1,8 @@
-"""Compositions: DISTINCT ON, first by a key, SINGLE and MARK joins, UPDATE and DELETE by rewriting."""
+"""Compositions: DISTINCT ON, first by a key, SINGLE, MARK and tiled joins, UPDATE and DELETE by rewriting."""
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -53,6 +54,37 @@ def mark_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     return joined.withColumn(mark, value).drop("__k", "__hit")
 
 
+def tiled_join(left: DataFrame, right: DataFrame, on: Sequence[str], side: int = 1 << 10, rows: int = 1 << 21) -> DataFrame:
+    """Inner join USING ``on`` whose tasks make about ``rows`` rows each, however many partners a key has on both sides.
+
+    The result has the product of a key's rows on either side, but Spark deals out work by the bytes it
+    reads, so small inputs end in a few tasks that make all of it. Here each side's rows of a key form
+    blocks of at most ``side`` rows, each pair of blocks is a tile of the key, and tiles are dealt over as
+    many partitions as the counted result needs. Rows are numbered by all their columns, so a task that
+    runs again makes the same blocks. A result of at most ``rows`` rows needs no tiles.
+    """
+    on = list(on)
+    count = lambda df, n: df.groupBy(*on).agg(F.count(F.lit(1)).alias(n))
+    counts = count(left, "__left").join(count(right, "__right"), on)
+    total = counts.agg(F.sum(F.col("__left").cast("double") * F.col("__right"))).first()[0] or 0
+    if total <= rows:
+        return left.join(right, on)
+    # one column of one type: a constant or cast key in the join's condition would have the tiles dealt anew, by bytes
+    counts = counts.withColumn("__key", F.struct(*on))
+
+    def tiles(df, own, other):
+        # row i of a key belongs to one block of its own side and meets every block of the other
+        number = F.row_number().over(Window.partitionBy(*on).orderBy(*df.columns)) - 1
+        blocks = {c: F.ceil(F.col(c) / side) for c in (own, other)}
+        cut = df.join(counts, on).withColumns({own: F.coalesce(number % blocks[own], F.lit(0)), other: F.sequence(F.lit(0).cast("bigint"), blocks[other] - 1)})
+        tile = F.struct("__key", "__left", "__right").alias("__tile")
+        return cut.withColumn(other, F.explode(other)).select(*df.columns, tile).repartition(math.ceil(total / rows), "__tile")
+
+    # the copies of rows are too many to broadcast
+    out = tiles(left, "__left", "__right").join(tiles(right, "__right", "__left").drop(*on).hint("merge"), "__tile")
+    return out.select(*on, *[c for df in (left, right) for c in df.columns if c not in on])
+
+
 def updated(df: DataFrame, assignments: Mapping[str, Column], where: Column | None = None) -> DataFrame:
     """Rows after UPDATE: assigned columns where the predicate is true (null counts as false)."""
     hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))

@@ -282,7 +282,8 @@ def join_using_multi(t):
 
 @query("SELECT k, n_name, s_name, c_name FROM (SELECT n_nationkey AS k, n_name FROM nation) JOIN (SELECT s_nationkey AS k, s_name FROM supplier) USING (k) JOIN (SELECT c_nationkey AS k, c_name FROM customer WHERE c_acctbal > 9500) USING (k)")
 def join_using_chained(t):
-    return join_inner_using(t).join(t("customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("k"), "c_name"), ["k"])
+    # each nation's suppliers meet each of its customers
+    return compose.tiled_join(join_inner_using(t), t("customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("k"), "c_name"), ["k"])
 
 
 _RICH = "(SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 300000)"

@@ -49,6 +49,30 @@ def test_mark_join_is_null_aware(spark, right, expected):
     assert collect(compose.mark_join(left, values(spark, right), "k", "r")) == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("side,rows", [(1, 1), (2, 5), (3, 20), (1 << 10, 1 << 21)])
+def test_tiled_join_gives_the_rows_of_a_join(spark, side, rows):
+    left = values(spark, "(1, 'a'), (1, 'a'), (1, 'b'), (1, NULL), (1, 'c'), (2, 'd'), (3, 'e'), (NULL, 'f') AS l(k, x)")
+    right = values(spark, "(1, 5), (1, 5), (1, NULL), (2, 6), (2, 7), (2, 8), (2, 8), (4, 9), (NULL, 9) AS r(k, y)")
+    out = compose.tiled_join(left, right, ["k"], side, rows)
+    assert out.columns == ["k", "x", "y"]
+    assert collect(out) == collect(left.join(right, ["k"])) and out.count() == 19
+
+
+def test_tiled_join_on_two_columns_and_without_partners(spark):
+    left, right = values(spark, "(1, 'a', 1), (1, 'a', 2), (1, 'b', 3) AS l(k, m, x)"), values(spark, "(1, 'a', 4), (1, 'a', 5), (2, 'a', 6) AS r(k, m, y)")
+    assert collect(compose.tiled_join(left, right, ["k", "m"], 1, 1)) == [(1, "a", 1, 4), (1, "a", 1, 5), (1, "a", 2, 4), (1, "a", 2, 5)]
+    wide = compose.tiled_join(left, right.withColumn("k", F.col("k").cast("bigint")), ["k", "m"], 1, 1)
+    assert collect(wide) == [(1, "a", 1, 4), (1, "a", 1, 5), (1, "a", 2, 4), (1, "a", 2, 5)] and dict(wide.dtypes)["k"] == "int"
+    assert collect(compose.tiled_join(left, right.where("k = 2"), ["k", "m"], 1, 1)) == []
+
+
+def test_tiled_join_deals_out_a_hot_key_and_equal_rows(spark):
+    left = spark.range(600).select(F.lit(7).alias("k"), F.lit("same").alias("x"))
+    right = spark.range(500).select(F.lit(7).alias("k"), F.col("id").alias("y"))
+    sizes = [r["count"] for r in compose.tiled_join(left, right, ["k"], 50, 10_000).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 300_000 and max(sizes) <= 60_000
+
+
 def test_updated_and_remaining_treat_null_as_false(spark):
     df = values(spark, "(1, 'a'), (NULL, 'b'), (3, 'c') AS v(k, x)")
     assert collect(compose.updated(df, {"x": F.lit("hit")}, F.col("k") > 2)) == [(1, "a"), (3, "hit"), (None, "b")]
