@@ -66,8 +66,9 @@ def tiled_join(left: DataFrame, right: DataFrame, on: Sequence[str], side: int =
     on = list(on)
     count = lambda df, n: df.groupBy(*on).agg(F.count(F.lit(1)).alias(n))
     counts = count(left, "__left").join(count(right, "__right"), on)
-    total = counts.agg(F.sum(F.col("__left").cast("double") * F.col("__right"))).first()[0] or 0
-    if total <= rows:
+    m, n = (F.col(c).cast("double") for c in ("__left", "__right"))
+    total, copies = counts.agg(F.sum(m * n), F.sum(F.greatest(m * F.ceil(n / side), n * F.ceil(m / side)))).first()
+    if (total or 0) <= rows:
         return left.join(right, on)
     # one column of one type: a constant or cast key in the join's condition would have the tiles dealt anew, by bytes
     counts = counts.withColumn("__key", F.struct(*on))
@@ -75,10 +76,11 @@ def tiled_join(left: DataFrame, right: DataFrame, on: Sequence[str], side: int =
     def tiles(df, own, other):
         # row i of a key belongs to one block of its own side and meets every block of the other
         number = F.row_number().over(Window.partitionBy(*on).orderBy(*df.columns)) - 1
-        blocks = {c: F.ceil(F.col(c) / side) for c in (own, other)}
-        cut = df.join(counts, on).withColumns({own: F.coalesce(number % blocks[own], F.lit(0)), other: F.sequence(F.lit(0).cast("bigint"), blocks[other] - 1)})
-        tile = F.struct("__key", "__left", "__right").alias("__tile")
-        return cut.withColumn(other, F.explode(other)).select(*df.columns, tile).repartition(math.ceil(total / rows), "__tile")
+        blocks = lambda c: F.ceil(F.col(c) / side)
+        # rows are dealt out before they are copied, as their copies grow with the result too
+        cut = df.join(counts, on).withColumn(own, F.coalesce(number % blocks(own), F.lit(0))).repartition(math.ceil(copies / rows))
+        cut = cut.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(other) - 1)))
+        return cut.select(*df.columns, F.struct("__key", "__left", "__right").alias("__tile")).repartition(math.ceil(total / rows), "__tile")
 
     # the copies of rows are too many to broadcast
     out = tiles(left, "__left", "__right").join(tiles(right, "__right", "__left").drop(*on).hint("merge"), "__tile")
